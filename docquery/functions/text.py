@@ -13,11 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\s_\-,./\\|]+"
-DATE_NAMES = frozenset(
-    "birthday dob birth_date birthdate date_of_birth tgl_lahir tanggal_lahir lahir birth born tgl_bergabung joined join_date created_at"
-    " updated_at tgl_daftar register_date tgl_registrasi tanggal_daftar tgl_buat tgl_update tanggal date".split()
-)
-PHONE_NAMES = frozenset("phone hp handphone telp telephone mobile no_hp nomor_hp nomor_telepon nohp telepon cell cellphone no_telp phone_number".split())
+DATE_NAMES = frozenset("birth birth_date birthdate birthday born created_at date date_of_birth dob join_date joined lahir register_date tanggal tanggal_daftar tanggal_lahir tgl_bergabung tgl_buat tgl_daftar tgl_lahir tgl_registrasi tgl_update updated_at".split())
+PHONE_NAMES = frozenset("cell cellphone handphone hp mobile no_hp no_telp nohp nomor_hp nomor_telepon phone phone_number telephone telepon telp".split())
 
 
 def canonical_key(name: str) -> str:
