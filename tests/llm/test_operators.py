@@ -1,0 +1,535 @@
+"""Each operator against a brute-force version, and on null, empty, long, repeated and absent rows."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from docquery.llm import ann, html, license, mixing, packing, pii, quality, simhash, suffix, tokenids
+from docquery.llm.common import table
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+# names that the operators use inside, as further columns of the input
+CLASH = ["key", "node", "row_key", "mix_key", "copies", "spans", "n_tokens", "bucket", "cleaned", "epochs", "last", "anchor", "words", "shard", "start", "nats", "verdict", "grp", "g"]
+
+
+def docs(spark, rows, clash=True):
+    df = spark.createDataFrame([(i, t, lang, source, None if t is None else len(t)) for i, t, lang, source in rows], DOCS)
+    return df.withColumns({c: F.lit("x") for c in CLASH}) if clash else df
+
+
+def prose(seed, n, words=400):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(words)]
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, wordless, very long and repeated rows, null ids."""
+    long = prose(1, 60_000)
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", "en", None), (4, "!!! ???", None, "a"), (4, "!!! ???", None, "a"), (5, long, "en", "b"), (None, "one two three", "en", "b"), (6, long, "en", "b"), (7, "x", "de", "c"), (None, None, None, None)]
+    return docs(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs(spark, [])
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf):
+    return table(spark, sf, "documents").cache()
+
+
+# 1: personal data
+
+
+def test_pii_kinds_and_decoys(spark):
+    good = "4539578763621486"
+    rows = [(i, f"{prose(i, 20)} write to ann.{i}@mail.example.com or +1 (212) 555-{1000 + i} from 93.184.{i}.34 card {good} token = \"{'9af3' * 10}\" end", "en", "a") for i in range(30)]
+    rows += [(100 + i, f"order {1234567890123450 + i} of version 1.2.3.4.5 and 999.1.1.1 item {i}", "en", "a") for i in range(30)]
+    found = pii.pii_spans(docs(spark, rows)).collect()
+    kinds = Counter(r.kind for r in found if r.doc_id < 100)
+    assert kinds == {"email": 30, "phone": 30, "ip": 30, "card": 30, "secret": 30}
+    assert not [r for r in found if r.doc_id >= 100]
+    by_id = {i: t for i, t, _, _ in rows}
+    assert all(by_id[r.doc_id][r.start : r.end] == r.span and 0.5 <= r.score <= 1 for r in found)
+
+
+def test_pii_against_brute_force(real):
+    """The query's spans are those of all candidates scored and resolved one document at a time."""
+    texts = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
+    model = pii.train(pii.candidate_table(real))
+    want = sorted((d, s[0], s[1], s[2]) for d, t in texts for s in pii._sweep([c for c in pii.candidates(t) if pii.score(model, c[0], c[3]) >= 0.5]))
+    assert want and want == sorted((r.doc_id, r.kind, r.start, r.end) for r in pii.pii_spans(real).collect())
+
+
+def test_redact_changes_only_spans(real):
+    spans = defaultdict(list)
+    for r in pii.pii_spans(real).collect():
+        spans[r.doc_id].append(r)
+    before = {r.doc_id: r for r in real.collect()}
+    for r in pii.redact(real).collect():
+        t = before[r.doc_id].text
+        for s in sorted(spans[r.doc_id], key=lambda s: -s.start):
+            t = t[: s.start] + f"[{s.kind.upper()}]" + t[s.end :]
+        assert r.text == t and r.n_chars == (len(t) if spans[r.doc_id] else before[r.doc_id].n_chars)
+
+
+def test_pii_odd_rows(odd, none):
+    assert pii.pii_spans(odd).count() == 0 and pii.pii_spans(none).count() == 0
+    assert sorted(map(repr, pii.redact(odd).collect())) == sorted(map(repr, odd.collect()))
+    assert pii.redact(none).columns == none.columns
+
+
+def test_overlaps_keep_the_longest():
+    assert pii._sweep([("phone", 0, 10), ("card", 2, 20), ("ip", 30, 40), ("email", 15, 18)]) == [("card", 2, 20), ("ip", 30, 40)]
+
+
+# 2: mixing
+
+
+def brute_mix(rows, alpha=0.7, ratio=1.0, weights=None):
+    by = defaultdict(list)
+    for doc_id, source, n, key in rows:
+        by[source].append((key, doc_id is not None, doc_id or 0, n))
+    total = {s: sum(x[3] for x in v) for s, v in by.items()}
+    w = {s: (t**alpha if weights is None else weights.get(s, 0.0)) for s, t in total.items()}
+    out = Counter()
+    for s, v in by.items():
+        budget = round(sum(total.values()) * ratio * w[s] / sum(w.values()))
+        at = 0
+        for _, known, d, n in sorted(v):
+            out[(d if known else None, s, n)] += budget // total[s] + (at < budget % total[s])
+            at += n
+    return +out
+
+
+@pytest.mark.parametrize("options", [{}, {"budget_ratio": 2.5}, {"weights": {"src0": 3.0, "src1": 1.0}}, {"alpha": 0.0, "budget_ratio": 0.3}])
+def test_mixing_against_brute_force(real, options, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 20)
+    rows = [(r.doc_id, r.source, r.n_tokens, r.key) for r in mixing._keyed(real, 17).collect()]
+    want = brute_mix(rows, options.get("alpha", 0.7), options.get("budget_ratio", 1.0), options.get("weights"))
+    got = Counter()
+    for r in mixing.sample(real, **options).collect():
+        got[(r.doc_id, r.source, r.n_tokens)] += r.copies
+    assert got == want
+    again = Counter((r.doc_id, r.source) for r in mixing.mix(real, **options).select("doc_id", "source").collect())
+    assert again == Counter({(d, s): n for (d, s, _), n in want.items()})
+
+
+def test_mixing_odd_rows(odd, none):
+    assert {r.doc_id for r in mixing.sample(odd, budget_ratio=1.0).collect()} <= {4, 5, 6, 7, None}
+    mixed = mixing.mix(odd, budget_ratio=2.0)
+    assert mixed.columns == odd.columns and {None, 4, 5, 6, 7} == {r.doc_id for r in mixed.select("doc_id").collect()} - {3}
+    assert mixing.sample(none).count() == 0 and mixing.mix(none).columns == none.columns
+
+
+# 3: quality
+
+
+def kneser_ney(texts):
+    """Interpolated modified Kneser-Ney costs by 5-gram, with dictionaries."""
+    top = Counter()
+    for t in texts:
+        top.update(quality.grams(pa.array([t]))[0].tolist())
+    counts = {quality.ORDER: top}
+    for k in range(quality.ORDER - 1, 0, -1):
+        counts[k] = Counter(g & ((1 << 12 * k) - 1) for g in counts[k + 1])
+    probability = {}
+    for k in range(1, quality.ORDER + 1):
+        c = counts[k]
+        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        d = quality._discounts({f"k{k}_{i + 1}": x for i, x in enumerate(n)}, k)
+        total, rest = Counter(), Counter()
+        for g, v in c.items():
+            total[g >> 12] += v
+            rest[g >> 12] += d[min(v, 3) - 1]
+        for g, v in c.items():
+            low = 1 / (len(c) + 1) if k == 1 else probability[k - 1, g & ((1 << 12 * (k - 1)) - 1)]
+            probability[k, g] = (v - d[min(v, 3) - 1] + rest[g >> 12] * low) / total[g >> 12]
+    return {g: -math.log(p) for (k, g), p in probability.items() if k == quality.ORDER}
+
+
+def test_perplexity_against_brute_force(spark):
+    texts = [prose(i, 60, 50) for i in range(12)] + ["Ünïcode and 漢字 too", "a", "ab", "ABAB abab"]
+    df = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = kneser_ney(texts)
+    exact = {i: float(np.mean([want[g] for g in quality.grams(pa.array([t]))[0].tolist()])) for i, t in enumerate(texts)}
+    for limit in (64, 0):  # sent to the executors, and joined
+        got = {r.doc_id: r.nats for r in quality.log_perplexity(df, limit).collect()}
+        assert got == pytest.approx(exact, rel=1e-5)
+
+
+def test_model_sums_to_one_at_most(real):
+    model = quality.model_frame(real)
+    p = np.exp(-model["cost"].to_numpy(float))
+    sums = defaultdict(float)
+    for g, x in zip((model["g"].to_numpy() >> 12).tolist(), p.tolist()):
+        sums[g] += x
+    assert max(sums.values()) <= 1 + 1e-4
+
+
+def test_quality_rejects_noise_and_keeps_prose(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(7, 300 + i), "en", "a") for i in range(60)]
+    rows += [(1000, "".join(rng.choice("!#$%&*0123456789zxqvkj") for _ in range(900)), "en", "a"), (1001, "aaaaaaaaaa " * 90, "en", "a")]
+    kept = {r.doc_id for r in quality.keep_good(docs(spark, rows)).collect()}
+    assert kept == set(range(60))
+
+
+def test_quality_keeps_labelled_good(spark, sf):
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    verdicts = [(labels.get(r.doc_id), r.verdict) for r in quality.report(table(spark, sf, "documents")).collect()]
+    good = [v for q, v in verdicts if q == 1]
+    assert good.count("keep") >= 0.97 * len(good)
+
+
+def test_quality_odd_rows(odd, none):
+    got = sorted((r.doc_id or 0, r.verdict) for r in quality.report(odd).collect())
+    assert [v for i, v in got if i in (1, 2)] == ["empty", "empty"] and len(got) == 10
+    assert quality.keep_good(odd).columns == odd.columns
+    assert quality.report(none).count() == 0 and quality.keep_good(none).count() == 0
+
+
+# 4: near copies
+
+
+def test_fingerprints_within_the_radius_meet():
+    rng = random.Random(0)
+    f = rng.getrandbits(simhash.BITS)
+    ball = lambda x: {x} | {x ^ (1 << i) for i in range(simhash.BITS)}
+    for _ in range(200):
+        a, b = rng.sample(range(simhash.BITS), 2)
+        assert ball(f) & ball(f ^ (1 << a)) and ball(f) & ball(f ^ (1 << a) ^ (1 << b))
+
+
+def test_near_pairs_against_brute_force(real):
+    """The groups are those of all pairs within the radius in some table whose whole fingerprints are close enough."""
+    rows = [(r.doc_id, [r[f] for f in simhash.F_NAMES]) for r in simhash.sign_documents(real).where("words > 0").collect()]
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, fa) in enumerate(rows):
+        for b, fb in rows[:i]:
+            apart = [(x ^ y).bit_count() for x, y in zip(fa, fb)]
+            if min(apart) <= 2 and sum(apart) <= int(simhash.SHARE * simhash.TABLES * simhash.BITS):
+                root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for d, _ in rows:
+        groups[find(d)].append(d)
+    want = sorted((d, min(g), len(g)) for g in groups.values() if len(g) > 1 for d in g)
+    assert want and want == sorted(map(tuple, simhash.groups(real).collect()))
+
+
+def test_copies_go_and_others_stay(spark):
+    base = [prose(100 + i, 200, 3000) for i in range(20)]
+    rng = random.Random(5)
+    near = []
+    for t in base[:10]:
+        w = t.split()
+        for _ in range(6):
+            w[rng.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    rows = [(i, t, "en", "a") for i, t in enumerate(base + near + base[:3])]
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()}
+    assert kept == set(range(20))
+
+
+def test_a_bucket_with_a_stranger_is_tried_in_full(spark):
+    """b and c are close, a shares their bucket but isn't; pairing with a alone would lose the pair of b and c."""
+    ones = (1 << simhash.BITS) - 1
+    rows = [(1, *([0] + [0] * 7)), (2, *([1] + [ones] * 7)), (3, *([2] + [ones] * 7))]
+    nodes = spark.createDataFrame(rows, ", ".join(["node bigint", *(f"{f} bigint" for f in simhash.F_NAMES)]))
+    assert {tuple(sorted(r)) for r in simhash.near_pairs(nodes).collect()} == {(2, 3)}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_simhash_odd_rows(odd, none):
+    assert sorted((r.doc_id, r.kept_id, r.members) for r in simhash.groups(odd).collect()) == [(4, 4, 2), (5, 5, 2), (6, 5, 2)]
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "7", "None", "None"])
+    assert simhash.groups(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+# 5: wrappers
+
+
+def page(nav, title, paragraphs, foot="All pages end so"):
+    return f"<html><head><title>{title}</title><script>var x='<p>';</script></head><body><nav><ul>{''.join(f'<li><a href=/{n}>{n}</a></li>' for n in nav)}</ul></nav><!-- note --><h1>{title}</h1>{''.join(f'<p>{p}' for p in paragraphs)}<footer>{foot} &amp; here</footer></body></html>"
+
+
+def test_template_goes_and_content_stays(spark):
+    nav = ["Home", "News", "About"]
+    rows = [(i, f"https://Site.example/{i}", page(nav, f"title {i}", [f"text {i} {j}" for j in range(1 + i % 4)])) for i in range(12)]
+    rows += [(100, "https://other.example/x", page(nav, "alone", ["only page"])), (101, None, None), (102, "no url", ""), (103, "https://site.example/z", "plain < text & <b>open")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("host", "reference", "slots", "content")})
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    for i in range(12):
+        lines = got[i].content.split("\n")
+        assert lines == [f"title {i}", f"title {i}", *(f"text {i} {j}" for j in range(1 + i % 4))] and got[i].host == "site.example"
+    assert "Home" in got[100].content and "only page" in got[100].content and got[100].template_texts == 0
+    assert (got[101].content, got[102].content, got[101].host) == ("", "", None) and got[103].content.startswith("plain < text &")
+
+
+def brute_score(shapes, a, b):
+    """Simple tree matching as it is defined, without short cuts."""
+    (tag, left), (other, right) = shapes.shapes[a], shapes.shapes[b]
+    if tag != other:
+        return 0
+    m = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left, 1):
+        for j, y in enumerate(right, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + brute_score(shapes, x, y))
+    return m[-1][-1] + 1
+
+
+def test_tree_matching_against_brute_force(monkeypatch):
+    rng = random.Random(2)
+
+    def tree(depth):
+        tag = rng.choice(["div", "span", "b"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(rng.randint(0, 4)))}</{tag}>" if depth else "t<i></i>"
+
+    for big in (4_000_000, 2):
+        monkeypatch.setattr(html, "BIG", big)
+        for _ in range(60):
+            shapes = html.Shapes()
+            a, b = html.Tree(tree(3) * 3, shapes), html.Tree(tree(3) * 2, shapes)
+            best = brute_score(shapes, a.shape[0], b.shape[0])
+            assert shapes.score(a.shape[0], b.shape[0]) == best
+            assert len(html.match(a, b, shapes)) == best
+
+
+def test_html_of_any_depth_and_length(spark):
+    deep, wide = "<div>" * 5000 + "in" + "</div>" * 5000, "".join(f"<p>x{i}</p>" for i in range(4000))
+    df = spark.createDataFrame([(1, "http://h/1", deep), (2, "http://h/2", wide), (3, "http://h/3", wide + "<p>last"), (4, "http://h/3", wide)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    assert got[1].content == "in" and got[3].content_texts + got[3].template_texts == 4001
+    assert html.extract(df.limit(0)).count() == 0
+
+
+# 6: repeats
+
+
+def brute_repeats(rows, length):
+    count, out = Counter(), set()
+    words = {(d, t): t.split() for d, t in rows if t}
+    for w in words.values():
+        count.update(tuple(w[i : i + length]) for i in range(len(w) - length + 1))
+    for (d, _), w in words.items():
+        span = None
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                if span and i <= span[1]:
+                    span[1] = i + length
+                else:
+                    out |= {(d, *span)} if span else set()
+                    span = [i, i + length]
+        out |= {(d, *span)} if span else set()
+    return out
+
+
+def test_repeats_against_brute_force(real):
+    rows = [(r.doc_id, r.text) for r in real.collect()]
+    for length, seed in ((50, 20), (12, 5)):
+        got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeats(real, length, seed).collect()}
+        assert got and got == brute_repeats(rows, length)
+
+
+def test_merged_transforms_give_sorted_suffixes():
+    rng = random.Random(4)
+    for _ in range(20):
+        strings = [np.array([rng.randint(1, 3) for _ in range(rng.randint(6, 30))]) for _ in range(rng.randint(2, 9))]
+        strings = [np.array(s) for s in {tuple(s.tolist()) for s in strings}]
+        flags = suffix.repeated(strings, 5, shard_words=25)
+        count = Counter(tuple(s[i : i + 5].tolist()) for s in strings for i in range(len(s) - 4))
+        for s, f in zip(strings, flags):
+            assert f.tolist() == [count[tuple(s[i : i + 5].tolist())] > 1 for i in range(len(s) - 4)]
+
+
+def test_suffix_odd_rows(odd, none, spark):
+    got = [(r.doc_id, r.start_word, r.end_word) for r in suffix.repeats(odd).collect()]
+    assert sorted(got) == [(5, 0, 60_000), (6, 0, 60_000)]
+    assert suffix.repeats(none).count() == 0
+    same = prose(9, 200)
+    twice = docs(spark, [(1, same, "en", "a"), (1, same, "en", "a"), (2, prose(10, 200), "en", "a")])
+    assert suffix.repeats(twice).count() == 0
+    inside = docs(spark, [(1, f"{same} between {same}", "en", "a")])
+    assert {(r.start_word, r.end_word) for r in suffix.repeats(inside).collect()} == {(0, 200), (201, 401)}
+
+
+# 7: notices
+
+
+def test_notices_with_edits(spark):
+    mit, apache = license.NOTICES["MIT"], license.NOTICES["Apache-2.0"]
+    wrong = "Relased under  the MIT\nLicence"  # 2 edits, and white space that doesn't count
+    rows = [(1, f"{prose(1, 50)} {mit}. {prose(2, 50)} {apache}", "en", "a"), (2, f"x {wrong} y", "en", "a"), (3, "Released under the terms of another License", "en", "a"), (4, apache.upper() + apache, "en", "a")]
+    got = sorted(map(tuple, license.scan(docs(spark, rows)).collect()))
+    texts = {i: t for i, t, _, _ in rows}
+    assert [(r[0], r[1], r[4]) for r in got] == [(1, "Apache-2.0", 0), (1, "MIT", 0), (2, "MIT", 2), (4, "Apache-2.0", 0), (4, "Apache-2.0", 0)]
+    assert all(texts[r[0]][r[2] : r[3]] == r[5] for r in got) and got[2][5] == wrong
+
+
+def test_notices_against_brute_force(real):
+    """Every text that the bounded-error patterns match anywhere is reported, and no other."""
+    scanner = license.Scanner(license.NOTICES)
+    want = Counter()
+    rng = random.Random(1)
+    texts = [r.text for r in real.collect()]
+    for i, notice in enumerate(license.NOTICES.values()):
+        for edits in range(license.edits_for(notice) + 2):
+            t = list(notice)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = rng.choice("xyzq")
+            texts.append(f"{texts[i][:300]} {''.join(t)} {texts[i + 1][:300]}")
+    for t in texts:
+        folded, _ = license.fold(t)
+        everywhere = any(pattern.search(folded) for _, _, pattern in scanner.notices.values())
+        assert bool(scanner.scan(t)) == everywhere
+        want[everywhere] += 1
+    assert want[True] > 20 and want[False] > 20
+
+
+def test_license_odd_rows(odd, none):
+    assert license.scan(odd).count() == 0 and license.scan(none).count() == 0
+
+
+# 8: neighbours
+
+
+def test_neighbours_recall(spark, sf):
+    df = table(spark, sf, "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([e for _, e in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims = v @ v.T
+    np.fill_diagonal(sims, -9)
+    best = ids[np.argsort(-sims, axis=1)[:, :10]]
+    for rows_a_shard in (16_384, 120):
+        got = defaultdict(set)
+        for r in ann.neighbours(df, 10, rows_a_shard).collect():
+            got[r.vec_id].add(r.neighbour_id)
+        assert np.mean([len(got[i] & set(b.tolist())) / 10 for i, b in zip(ids.tolist(), best)]) >= 0.95
+
+
+def test_neighbours_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [1.0, 2.0, 3.0]), (7, [0.0, 0.0]), (None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit(1) for c in ("row", "unit", "shard", "block")})
+    got = ann.neighbours(df, 3).collect()
+    assert {r.vec_id for r in got} == {1, 2, 7, None} and Counter(r.vec_id for r in got) == {1: 3, 2: 6, 7: 3, None: 3}
+    first = [r.neighbour_id for r in got if r.vec_id == 1 and r["rank"] == 1]
+    assert first == [2] and ann.neighbours(df.limit(0)).count() == 0
+
+
+# 9: packing
+
+
+def brute_squares(sizes, capacity):
+    bins, out = [], []
+    for s in sizes:
+        def total(gaps):
+            return sum(n * n for g, n in Counter(gaps).items() if g not in (0,))
+
+        options = []
+        for gap in sorted({b for b in bins if s <= b < capacity}):
+            rest = list(bins)
+            rest[rest.index(gap)] = gap - s
+            options.append((total(rest), gap - s, gap))
+        options.append((total([*bins, capacity - s]), capacity - s, capacity))
+        best = min(options)
+        if best[2] == capacity:
+            bins.append(capacity - s)
+        else:
+            at = len(bins) - 1 - bins[::-1].index(best[2])
+            bins[at] -= s
+        out.append(best[1])
+    return sorted(bins), out
+
+
+def test_sum_of_squares_against_brute_force():
+    rng = random.Random(6)
+    for capacity in (10, 37):
+        for _ in range(15):
+            sizes = [rng.randint(1, capacity) for _ in range(60)]
+            placed = packing.sum_of_squares(sizes, capacity)
+            bins, gaps = brute_squares(sizes, capacity)
+            load = Counter()
+            for (b, offset), s, gap in zip(placed, sizes, gaps):
+                assert offset == load[b] and capacity - offset - s == gap
+                load[b] += s
+            assert sorted(capacity - x for x in load.values()) == bins
+
+
+def check_packing(df, packed, capacity):
+    want = Counter((r.doc_id, r.n) for r in df.select("doc_id", mixing.tokens().alias("n")).collect() if r.n)
+    bins, got = defaultdict(list), defaultdict(list)
+    for r in packed.collect():
+        bins[r.shard, r.bin].append((r.offset, r.length))
+        got[r.doc_id].append(r.length)
+    for spans in bins.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert sum(map(sum, got.values())) == sum(n * k for (_, n), k in want.items())
+
+
+def test_packing(real, odd, none):
+    for options in ({}, {"capacity": 128, "tokens_a_shard": 20_000}):
+        check_packing(real, packing.pack(real, **options), options.get("capacity", packing.CAPACITY))
+    check_packing(odd, packing.pack(odd), packing.CAPACITY)
+    assert packing.pack(none).count() == 0
+
+
+# 10: codes
+
+
+def test_codes_give_any_id():
+    rng = random.Random(8)
+    for n in (0, 1, 511, 512, 513, 3000):
+        for most in (1, 200, 60_000, 1 << 40):
+            ids = [rng.randrange(most) for _ in range(n)]
+            codes = tokenids.Codes(tokenids.encode_ids(np.array(ids, dtype=np.uint64)))
+            assert len(codes) == n and [codes[i] for i in range(n)] == ids and codes.all().tolist() == ids
+    with pytest.raises(IndexError):
+        codes[n]
+
+
+def test_tokens_are_those_of_the_vocabulary(real, odd, none):
+    encoding = tokenids.Tokenizer(tokenids.VOCABULARY).encoding
+    for df in (real, odd):
+        texts = Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+        back = Counter()
+        for r in tokenids.token_codes(df).collect():
+            text = None if r.codes is None else encoding.decode(tokenids.Codes(bytes(r.codes)).all().tolist())
+            assert text is None or encoding.encode_ordinary(text) == tokenids.Codes(bytes(r.codes)).all().tolist()
+            assert r.n_tokens == (None if text is None else len(encoding.encode_ordinary(text)))
+            back[r.doc_id, text] += 1
+        assert back == texts
+    assert tokenids.token_codes(none).count() == 0
+
+
+def test_tokens_with_odd_spaces():
+    t = tokenids.Tokenizer(tokenids.VOCABULARY)
+    texts = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \nb", "\n\n a\t b", "don't <|endoftext|>", "x" * 5000, "a\n\n b", "é ü 漢字 🙂"]
+    assert [x.tolist() for x in t.encode(pa.array(texts, pa.large_string()))] == [t.encoding.encode_ordinary(x) for x in texts]
+    assert re.sub(r"\s", "", "".join(texts))
