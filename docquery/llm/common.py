@@ -6,7 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,18 @@ def batch_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches of texts for Python of at most 1,000 rows: texts are long, and Arrow's buffers lie outside the heap on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
+def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    lean(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def split_words(texts: pa.Array, pattern: str | None = r"[^\p{L}\p{N}]+") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words of a batch: 64-bit hash of each, the document it is in, and document starts (one more than documents).
 
@@ -117,7 +129,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one hold about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:

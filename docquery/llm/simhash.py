@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.llm.common import batch_texts, doc_key, fresh, materialise, mix, shards_for, small_batches, split_words
+from docquery.llm.common import batch_texts, doc_key, fresh, map_texts, materialise, mix, shards_for, small_batches, split_words
 
 TABLES = 8
 BITS = 40
@@ -76,7 +76,7 @@ def sign_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(f[:, t].view(np.int64)) for t in range(TABLES))], names=["doc_id", "key", "node", "words", *F_NAMES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(sign, f"doc_id {kind}, key bigint, node bigint, words int, {', '.join(f'{f} bigint' for f in F_NAMES)}")
+    return map_texts(base, sign, f"doc_id {kind}, key bigint, node bigint, words int, {', '.join(f'{f} bigint' for f in F_NAMES)}")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:

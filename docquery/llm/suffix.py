@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.llm.common import batch_texts, doc_key, materialise, mix, shards_for, small_batches, split_words
+from docquery.llm.common import batch_texts, doc_key, map_texts, materialise, mix, shards_for, small_batches, split_words
 
 LENGTH = 50
 SEED = 20
@@ -67,7 +67,7 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
             for i in range(0, len(new), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(anchor[new[i : i + 100_000]].view(np.int64))], names=["key", "anchor"])
 
-    return docs.mapInArrow(find, "key bigint, anchor bigint")
+    return map_texts(docs, find, "key bigint, anchor bigint")
 
 
 def rotations(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     total = several.agg(F.sum("n")).first()[0] or 0
     parts = max(shards_for(total, SNIPPETS_A_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = base.select("key", "text").join(several, "key").select("key", "text", "anchors")
-    snippets = texts.mapInArrow(lambda b: _snippets(b, length, seed), SNIPPET).repartition(parts, "anchor")
+    snippets = map_texts(texts, lambda b: _snippets(b, length, seed), SNIPPET).repartition(parts, "anchor")
     found = snippets.mapInArrow(lambda b: _repeats(b, length), "key bigint, start int, end int").distinct()
     order = Window.partitionBy("key").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docquery.llm.common import batch_texts, small_batches
+from docquery.llm.common import batch_texts, map_texts, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -168,4 +168,4 @@ def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, codes], names=["doc_id", "n_tokens", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens bigint, codes binary")
+    return map_texts(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_tokens bigint, codes binary")
