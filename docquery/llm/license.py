@@ -1,8 +1,9 @@
 """License scan: fuzzy search for short notices.
 
 A notice may differ in up to ``edits`` insertions, deletions or substitutions (case aside). Cut into one piece more than that,
-at least one piece must then be found unchanged, so an automaton over all pieces of all notices locates candidates exactly;
-the regex library's bounded-error matching verifies them in a stretch around the piece and reports span and edits.
+at least one piece must then be found unchanged, so an automaton over all pieces of all notices locates candidates exactly.
+In the stretch around a piece, the fewest edits are counted; if they are few enough, the regex library's bounded-error
+matching, bounded by them, verifies the match and reports its span and edits.
 
 Defined results: a null or empty text has no notices; any length is searched whole; repeated rows give their spans once for
 each row; a null doc_id is kept as null; an empty table gives no rows; other columns are ignored. Matches of one notice that
@@ -20,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquery.llm.common import lean
+
 #: Notice by licence. The edits allowed are a tenth of the length.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -52,6 +55,44 @@ def pieces(notice: str, edits: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
+class Notice:
+    """A notice, how many edits it may have, and where its pieces end."""
+
+    def __init__(self, text: str, edits: int):
+        self.text, self.edits = text, edits
+        self.ends = {a: a + len(p) for p, a in pieces(text, edits)}
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+        self.patterns: dict[int, regex.Pattern] = {}
+
+    def pattern(self, edits: int) -> regex.Pattern:
+        """Bounded by the fewest edits that a match is known to have, which the regex library finds far sooner than a looser bound."""
+        if edits not in self.patterns:
+            self.patterns[edits] = regex.compile(f"(?:{regex.escape(self.text, literal_spaces=True)}){{e<={edits}}}", regex.BESTMATCH)
+        return self.patterns[edits]
+
+    def distance(self, stretch: str) -> int:
+        """The fewest edits of the notice anywhere in the stretch, by bit-parallel dynamic programming."""
+        m = len(self.text)
+        mask, high = (1 << m) - 1, 1 << (m - 1)
+        up, down, score, least = mask, 0, m, m
+        for c in stretch:
+            equal = self.places.get(c, 0)
+            vertical = equal | down
+            horizontal = (((equal & up) + up) ^ up) | equal
+            rise, fall = (down | ~(horizontal | up)) & mask, up & horizontal
+            if rise & high:
+                score += 1
+            elif fall & high:
+                score -= 1
+                if score < least:
+                    least = score
+            rise, fall = rise << 1 & mask, fall << 1 & mask
+            up, down = (fall | ~(vertical | rise)) & mask, rise & vertical
+        return least
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str]):
         self.automaton = ahocorasick.Automaton()
@@ -61,7 +102,7 @@ class Scanner:
             k = edits_for(notice)
             if len(notice) // (k + 1) < SHORTEST:
                 raise ValueError(f"{name}: pieces of fewer than {SHORTEST} characters")
-            self.notices[name] = (notice, k, regex.compile(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}", regex.BESTMATCH))
+            self.notices[name] = Notice(notice, k)
             for piece, at in pieces(notice, k):
                 self.automaton.add_word(piece, [*self.automaton.get(piece, []), (name, at)])
         self.automaton.make_automaton()
@@ -72,16 +113,13 @@ class Scanner:
         near: dict[str, list[tuple[int, int]]] = {}
         for end, hits in self.automaton.iter(folded):
             for name, at in hits:
-                notice, k, _ = self.notices[name]
-                piece_start = end + 1  # where the piece ends; its start follows from its length
-                length = next(len(p) for p, a in pieces(notice, k) if a == at)
-                begin = piece_start - length - at
-                near.setdefault(name, []).append((max(0, begin - 2 * k), min(len(folded), begin + len(notice) + 2 * k)))
+                n = self.notices[name]
+                begin = end + 1 - n.ends[at]
+                near.setdefault(name, []).append((max(0, begin - n.edits), min(len(folded), begin + len(n.text) + n.edits)))
         found = []
         for name, stretches in near.items():
-            _, _, pattern = self.notices[name]
             for a, b in _joined(stretches):
-                found += [(name, *m) for m in matches(pattern, folded, a, b)]
+                found += [(name, *m) for m in matches(self.notices[name], folded, a, b)]
         kept: list[tuple[str, int, int, int]] = []
         for m in sorted(found, key=lambda m: (m[3], m[1] - m[2], m[0], m[1])):
             i = bisect_right(kept, m[1], key=lambda k: k[1])
@@ -123,12 +161,15 @@ def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def matches(pattern: regex.Pattern, folded: str, a: int, b: int) -> list[tuple[int, int, int]]:
+def matches(notice: Notice, folded: str, a: int, b: int) -> list[tuple[int, int, int]]:
     """start, end and edits of the matches in a stretch that don't overlap, the best first."""
-    m = pattern.search(folded, a, b)
-    if not m:
+    if b - a < len(notice.text) - notice.edits:
+        return []
+    fewest = notice.distance(folded[a:b])
+    if fewest > notice.edits:
         return []
-    return [*matches(pattern, folded, a, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *matches(pattern, folded, m.end(), b)]
+    m = notice.pattern(fewest).search(folded, a, b)
+    return [*matches(notice, folded, a, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *matches(notice, folded, m.end(), b)]
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
@@ -142,5 +183,6 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
             made.append(Scanner(chosen))
         return texts.map(lambda t: made[0].scan(t) or None)
 
+    lean(docs.sparkSession)
     found = docs.where(F.length("text") > 0).select("doc_id", find("text").alias("found"))
     return found.select("doc_id", F.inline("found"))
