@@ -52,7 +52,7 @@ def real(spark, sf):
 
 def test_pii_kinds_and_decoys(spark):
     good = "4539578763621486"
-    rows = [(i, f"{prose(i, 20)} write to ann.{i}@mail.example.com or +1 (212) 555-{1000 + i} from 93.184.{i}.34 card {good} token = \"{'9af3' * 10}\" end", "en", "a") for i in range(30)]
+    rows = [(i, f"{prose(i, 20)} write to ann.{i}@mail.example.com or +1 (212) 555-{1000 + i} from 93.184.{i}.34 card {good} token = \"{'9af30b7c5e' * 4}\" end", "en", "a") for i in range(30)]
     rows += [(100 + i, f"order {1234567890123450 + i} of version 1.2.3.4.5 and 999.1.1.1 item {i}", "en", "a") for i in range(30)]
     found = pii.pii_spans(docs(spark, rows)).collect()
     kinds = Counter(r.kind for r in found if r.doc_id < 100)
@@ -178,7 +178,8 @@ def test_model_sums_to_one_at_most(real):
 
 def test_quality_rejects_noise_and_keeps_prose(spark):
     rng = random.Random(3)
-    rows = [(i, prose(7, 300 + i), "en", "a") for i in range(60)]
+    vocabulary = prose(7, 400).split()
+    rows = [(i, " ".join(rng.choices(vocabulary, k=200 + 3 * i)), "en", "a") for i in range(60)]
     rows += [(1000, "".join(rng.choice("!#$%&*0123456789zxqvkj") for _ in range(900)), "en", "a"), (1001, "aaaaaaaaaa " * 90, "en", "a")]
     kept = {r.doc_id for r in quality.keep_good(docs(spark, rows)).collect()}
     assert kept == set(range(60))
@@ -399,10 +400,12 @@ def test_notices_against_brute_force(real):
             t = list(notice)
             for _ in range(edits):
                 t[rng.randrange(len(t))] = rng.choice("xyzq")
-            texts.append(f"{texts[i][:300]} {''.join(t)} {texts[i + 1][:300]}")
+            texts.append(f"{texts[i][:30]} {''.join(t)} {texts[i + 1][:30]}")
     for t in texts:
         folded, _ = license.fold(t)
-        everywhere = any(pattern.search(folded) for _, _, pattern in scanner.notices.values())
+        everywhere = any(n.distance(folded) <= n.edits for n in scanner.notices.values())
+        if len(folded) < 110:  # the loosest patterns are slow
+            assert everywhere == any(n.pattern(n.edits).search(folded) is not None for n in scanner.notices.values())
         assert bool(scanner.scan(t)) == everywhere
         want[everywhere] += 1
     assert want[True] > 20 and want[False] > 20
