@@ -297,5 +297,7 @@ def wild_match(c: Column, pattern: str) -> Column:
         if parts[0]:
             return F.startswith(low, F.lit(some[0])) if len(parts) > 1 else low == some[0]
         return F.endswith(low, F.lit(some[0]))
-    body = ".*".join("".join(f"\\{ch}" if re.match(r"[^\w\s]", ch) else ch for ch in p) for p in parts)
-    return F.rlike(low, F.lit(("^" if parts[0] else "") + body + ("$" if parts[-1] else "")))
+    # no wildcard at either end of the pattern: it would only make the search start over at every character
+    body = ".*".join("".join(f"\\{ch}" if re.match(r"[^\w\s]", ch) else ch for ch in p) for p in some)
+    match = F.rlike(low, F.lit(("^" if parts[0] else "") + body + ("$" if parts[-1] else "")))
+    return reduce(lambda a, b: a & b, [F.contains(low, F.lit(p)) for p in some]) & match
