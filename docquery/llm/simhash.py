@@ -154,9 +154,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, key, grp and copies (rows equal in doc_id and text) of every distinct row in a group of several rows."""
     signed = materialise(sign_documents(docs))
-    nodes = materialise(signed.where("words > 0").groupBy("node").agg(*(F.first(f).alias(f) for f in F_NAMES)))
-    roots = materialise(components(near_pairs(nodes)))
-    grouped = signed.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("grp"))
+    nodes = signed.where("words > 0").groupBy(F.col("node").alias("print")).agg(*(F.first(f).alias(f) for f in F_NAMES))
+    # numbers in order of the rows share most of their bytes with their neighbours, so the variants' shuffle packs them well
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(near_pairs(nodes)).join(nodes, "node").select(F.col("print").alias("node"), "root")
+    alone = F.col("node").bitwiseOR(F.lit(-(1 << 63)))  # negative, as no root is
+    grouped = signed.join(materialise(roots), "node", "left").select("doc_id", "key", F.coalesce("root", alone).alias("grp"))
     each = grouped.groupBy("grp", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
     total = F.sum("copies").over(Window.partitionBy("grp"))
     return each.withColumn("members", total).where("members > 1")
