@@ -61,6 +61,11 @@ def _remove(root: str) -> None:
         pass
 
 
+def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A materialised table of 64-bit keys, to be broadcast if it has at most ``most`` rows (some 16 MB); else Spark decides."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that ``df`` doesn't have, one for each stem."""
     taken, names = {c.lower() for c in df.columns}, []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.llm.common import batch_texts, doc_key, fresh, map_texts, materialise, mix, shards_for, small_batches, split_words
+from docquery.llm.common import batch_texts, doc_key, fresh, map_texts, materialise, mix, shards_for, sized, small_batches, split_words
 
 TABLES = 8
 BITS = 40
@@ -180,8 +180,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     (key,) = fresh(docs, "row_key")
     keyed = docs.withColumn(key, doc_key(docs))
     gone = ranked.where("place > 1 OR copies > 1").select(F.col("key").alias(key))
-    out = keyed.join(gone, key, "left_anti")
+    out = keyed.join(sized(gone), key, "left_anti")  # texts are shuffled only where the keys are too many to send
     again = ranked.where("place = 1 AND copies > 1").select(F.col("key").alias(key))
     if not again.isEmpty():  # rows equal in doc_id and text: one of them comes back
-        out = out.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+        out = out.unionByName(keyed.join(sized(again), key, "left_semi").dropDuplicates([key]))
     return out.select(*docs.columns)
