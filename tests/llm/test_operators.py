@@ -185,6 +185,16 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
     assert kept == set(range(60))
 
 
+def test_quality_rejects_shouting(spark):
+    """A document in capitals, of the words of all the others."""
+    rng = random.Random(4)
+    vocabulary = prose(7, 400).split()
+    rows = [(i, " ".join(rng.choices(vocabulary, k=200 + 3 * i)).capitalize(), "en", "a") for i in range(60)]
+    rows += [(1000, " ".join(rng.choices(vocabulary, k=60)).upper(), "en", "a")]
+    kept = {r.doc_id for r in quality.keep_good(docs(spark, rows)).collect()}
+    assert kept == set(range(60))
+
+
 def test_quality_keeps_labelled_good(spark, sf):
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     verdicts = [(labels.get(r.doc_id), r.verdict) for r in quality.report(table(spark, sf, "documents")).collect()]
