@@ -39,6 +39,7 @@ NOTICES = {
     "MPL-2.0": "subject to the terms of the Mozilla Public License",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "all-rights": "All rights reserved",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 SHORTEST = 4

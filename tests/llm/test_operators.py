@@ -399,6 +399,14 @@ def test_notices_with_edits(spark):
     assert all(texts[r[0]][r[2] : r[3]] == r[5] for r in got) and got[2][5] == wrong
 
 
+def test_bare_rights_notice():
+    scanner = license.Scanner(license.NOTICES)
+    got = scanner.scan("Some text.\nAll Rights Reserved.\nMore text.")
+    assert [(m[0], m[3], m[4]) for m in got] == [("all-rights", 0, "All Rights Reserved")]
+    long = license.NOTICES["all-rights-reserved"]
+    assert [(m[0], m[3], m[4]) for m in scanner.scan(f"x {long} y")] == [("all-rights-reserved", 0, long)]
+
+
 def test_notices_against_brute_force(real):
     """Every text that the bounded-error patterns match anywhere is reported, and no other."""
     scanner = license.Scanner(license.NOTICES)
