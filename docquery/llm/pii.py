@@ -26,8 +26,9 @@ from docquery.llm.common import fresh, lean, materialise
 
 KINDS = ("secret", "email", "iban", "card", "ip", "ssn", "phone")
 LABELERS = ("format", "gazetteer", "context", "check", "structure")
-#: A text in which this is nowhere found holds no candidate of any kind.
-CANDIDATE = "[@0-9]|[=:][ \"']{0,3}[A-Za-z+/_-]{8}"
+#: A text in which this is nowhere found holds no candidate of any kind. It is Java's, so white space and digits are spelt
+#: out where they are fewer than Python's: the separators U+001C to U+001F, digits newer than its Unicode.
+CANDIDATE = r"""(?U)[@0-9]|[=:][\s\x1c-\x1f]{0,3}["']?[^\s"',;]{8}|[\d\x{16AC0}-\x{16AC9}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}]"""
 
 CANDIDATES = {
     "secret": re.compile(r"(?i)\b[\w-]*(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|credential)[\w-]*\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{8,512})"),

@@ -82,6 +82,17 @@ def test_redact_changes_only_spans(real):
         assert r.text == t and r.n_chars == (len(t) if spans[r.doc_id] else before[r.doc_id].n_chars)
 
 
+def test_prefilter_passes_all_candidates(spark):
+    """Values of other characters, after other white space, in other digits."""
+    texts = ["password: hunter.two!", "password=Tr$ub.dor&horse", "api_key = 'abcd.efgh.ijkl.mnop'", "token:\n QWERTYuiopasdfghjkl", "token:\t\u00a0\u3000abcdefgh", "token=\x1c\x1dabcdefgh", "secret=漢字漢字漢字漢字"]
+    texts += [f"token=\"{c}bcdefgh" for c in map(chr, range(0x10000)) if not c.isspace() and c not in "\"',;" and not "\ud800" <= c <= "\udfff" and ord(c) % 16 == 0]
+    assert all(pii.candidates(t) for t in texts)
+    digits = [f"{c * 3}-{c * 2}-{c * 4}" for c in map(chr, range(0x110000)) if c.isdecimal()]
+    assert all(pii.candidates(t) for t in digits)
+    df = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts + digits)])
+    assert {r.doc_id for r in pii.candidate_table(df).collect()} == set(range(len(texts + digits)))
+
+
 def test_pii_odd_rows(odd, none):
     assert pii.pii_spans(odd).count() == 0 and pii.pii_spans(none).count() == 0
     assert sorted(map(repr, pii.redact(odd).collect())) == sorted(map(repr, odd.collect()))
