@@ -28,6 +28,8 @@ from docquery.llm.common import batch_texts, map_texts, small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BLOCK = 512
+#: A space next to white space of any kind.
+BESIDE = r" [\t-\r\x{85}\p{Z}]|[\t-\r\x{85}\p{Z}] "
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -126,11 +128,11 @@ class Tokenizer:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text.
 
-        A pretoken has a space only at its start, unless white space is next to white space. So a text without double
-        spaces can be cut before each space; a text with them is encoded as it is.
+        A pretoken has a space only at its start, unless white space is next to white space. So a text where no space
+        is next to white space can be cut before each space; any other is encoded as it is.
         """
-        double = np.asarray(pc.match_substring(texts, "  "))
-        lists = pc.split_pattern(pc.if_else(pa.array(double), "", texts), " ")
+        beside = np.asarray(pc.match_substring_regex(texts, BESIDE))
+        lists = pc.split_pattern(pc.if_else(pa.array(beside), "", texts), " ")
         starts = np.asarray(lists.offsets, dtype=np.int64)
         starts = starts - starts[0]
         flat = lists.flatten().dictionary_encode()
@@ -148,7 +150,7 @@ class Tokenizer:
         out = pool[np.repeat(begin[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         ends = np.r_[0, ends][starts]
         got = [out[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        for i in np.flatnonzero(double):
+        for i in np.flatnonzero(beside):
             got[i] = np.array(self.encoding.encode_ordinary(texts[int(i)].as_py()), dtype=np.int64)
         return got
 

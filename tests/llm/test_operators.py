@@ -565,3 +565,9 @@ def test_tokens_with_odd_spaces():
     texts = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \nb", "\n\n a\t b", "don't <|endoftext|>", "x" * 5000, "a\n\n b", "é ü 漢字 🙂"]
     assert [x.tolist() for x in t.encode(pa.array(texts, pa.large_string()))] == [t.encoding.encode_ordinary(x) for x in texts]
     assert re.sub(r"\s", "", "".join(texts))
+
+
+def test_tokens_with_spaces_beside_white_space():
+    t = tokenids.Tokenizer(tokenids.VOCABULARY)
+    texts = ["a \xa0 \xa0b", "a \xa0 \xa0 \xa0 \xa0", "a\n \nb", "a\t \tb", "a\n ", "a \n", *(f"a{w} {w}b{w} " for w in "\t\n\x0b\x0c\r\x85\xa0\u1680\u2003\u2028\u202f\u3000")]
+    assert [x.tolist() for x in t.encode(pa.array(texts, pa.large_string()))] == [t.encoding.encode_ordinary(x) for x in texts]
