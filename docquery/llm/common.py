@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,11 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
+
+    A folder of this machine is used only where neither is set and the executors are on this machine (tests).
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if base is None:
-        base = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="docquery-"))
+        named = sc._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="docquery-")
+            atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+        base = _own[sc.applicationId]
     return f"{base.rstrip('/')}/llm-{sc.applicationId}"
 
 
@@ -61,11 +73,6 @@ def _remove(root: str) -> None:
         pass
 
 
-def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A materialised table of 64-bit keys, to be broadcast if it has at most ``most`` rows (some 16 MB); else Spark decides."""
-    return F.broadcast(keys) if keys.count() <= most else keys
-
-
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that ``df`` doesn't have, one for each stem."""
     taken, names = {c.lower() for c in df.columns}, []
@@ -83,8 +90,9 @@ def shards_for(rows: int, rows_each: int) -> int:
 
 
 def doc_key(df: DataFrame) -> F.Column:
-    """64 bits that stand for a row's doc_id and text."""
-    return F.xxhash64(df["doc_id"].cast("string"), df["text"])
+    """128 bits that stand for a row's doc_id and text; null differs from every value."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat(F.length(parts[0]).cast("string"), F.lit(":"), *parts).cast("binary")))
 
 
 def batch_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -146,3 +154,22 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
             to = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def large_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Join record batches until the texts of one hold about ``limit`` bytes, and cut longer ones: for work that is cheaper by the distinct word."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in small_batches(batches, column, limit):
+        own = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if held and size + own > limit:
+            yield _joined(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
