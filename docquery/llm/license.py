@@ -2,17 +2,19 @@
 
 A notice may differ in up to ``edits`` insertions, deletions or substitutions (case aside). Cut into one piece more than that,
 at least one piece must then be found unchanged, so an automaton over all pieces of all notices locates candidates exactly.
-In the stretch around a piece, the fewest edits are counted; if they are few enough, the regex library's bounded-error
+In the stretch around a piece, the fewest edits that end at each place are counted; if they are few enough, the regex library's bounded-error
 matching, bounded by them, verifies the match and reports its span and edits.
 
 Defined results: a null or empty text has no notices; any length is searched whole; repeated rows give their spans once for
 each row; a null doc_id is kept as null; an empty table gives no rows; other columns are ignored. Matches of one notice that
-overlap are one: the one of fewest edits, then the longest, then the first; so are those of several notices, of which the
-first by name stays if they are equal in that. Spans count characters of the text; white space in a notice stands for any run of white space.
+overlap are one: the one of fewest edits, then the first (its span is what the regex library reports as its best match); so are
+those of several notices: the fewest edits, then the longest, then the first by name. A notice whose pieces would have fewer
+than ``SHORTEST`` characters, as an empty one, raises a ValueError when the scan is planned. Spans count characters of the text; white space in a notice stands for any run of white space.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right
 
 import ahocorasick
@@ -39,6 +41,36 @@ NOTICES = {
     "MPL-2.0": "subject to the terms of the Mozilla Public License",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "LGPL-2.1": "licensed under the GNU Lesser General Public License, version 2.1",
+    "GFDL-1.3": "licensed under the GNU Free Documentation License, Version 1.3",
+    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "CC-BY-4.0-long": "licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0-long": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-long": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-ND-4.0-long": "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-SA-3.0": "licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "CDDL-1.0": "subject to the terms of the Common Development and Distribution License",
+    "EUPL-1.2": "Licensed under the European Union Public Licence",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty",
+    "WTFPL": "Do What The Fuck You Want To Public License",
+    "Artistic-2.0": "licensed under the terms of the Artistic License 2.0",
+    "OFL-1.1": "licensed under the SIL Open Font License, Version 1.1",
+    "PSF-2.0": "licensed under the Python Software Foundation License",
+    "PHP-3.01": "This source file is subject to version 3.01 of the PHP license",
+    "OSL-3.0": "Licensed under the Open Software License version 3.0",
+    "MS-PL": "licensed under the Microsoft Public License",
+    "BSD-style": "Use of this source code is governed by a BSD-style license",
+    "public-domain": "This work is hereby released into the public domain",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
     "all-rights": "All rights reserved",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
@@ -73,13 +105,14 @@ class Notice:
             self.patterns[edits] = regex.compile(f"(?:{regex.escape(self.text, literal_spaces=True)}){{e<={edits}}}", regex.BESTMATCH)
         return self.patterns[edits]
 
-    def distance(self, stretch: str) -> int:
-        """The fewest edits of the notice anywhere in the stretch, by bit-parallel dynamic programming."""
+    def ends_at(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """(end, fewest edits) of every place between ``a`` and ``b`` where a match may end, by bit-parallel dynamic programming."""
         m = len(self.text)
         mask, high = (1 << m) - 1, 1 << (m - 1)
-        up, down, score, least = mask, 0, m, m
-        for c in stretch:
-            equal = self.places.get(c, 0)
+        up, down, score, most, out = mask, 0, m, self.edits, []
+        places = self.places
+        for i in range(a, b):
+            equal = places.get(text[i], 0)
             vertical = equal | down
             horizontal = (((equal & up) + up) ^ up) | equal
             rise, fall = (down | ~(horizontal | up)) & mask, up & horizontal
@@ -87,11 +120,15 @@ class Notice:
                 score += 1
             elif fall & high:
                 score -= 1
-                if score < least:
-                    least = score
+            if score <= most:
+                out.append((i + 1, score))
             rise, fall = rise << 1 & mask, fall << 1 & mask
             up, down = (fall | ~(vertical | rise)) & mask, rise & vertical
-        return least
+        return out
+
+    def distance(self, stretch: str) -> int:
+        """The fewest edits of the notice anywhere in the stretch, or one more than are allowed."""
+        return min((e for _, e in self.ends_at(stretch, 0, len(stretch))), default=self.edits + 1)
 
 
 class Scanner:
@@ -101,7 +138,7 @@ class Scanner:
         for name, notice in notices.items():
             notice = " ".join(notice.lower().split())
             k = edits_for(notice)
-            if len(notice) // (k + 1) < SHORTEST:
+            if len(notice) // (k + 1) < SHORTEST:  # the shortest of pieces()
                 raise ValueError(f"{name}: pieces of fewer than {SHORTEST} characters")
             self.notices[name] = Notice(notice, k)
             for piece, at in pieces(notice, k):
@@ -162,20 +199,46 @@ def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _taken(taken: list[tuple[int, int, int]], end: int) -> tuple[int, bool]:
+    """Where the last taken match before ``end`` ends, and whether one covers ``end``. Taken matches are in order and disjoint."""
+    i = bisect_right(taken, end, key=lambda t: t[0] + 1)  # the first that starts at end or later
+    before = taken[i - 1][1] if i else 0
+    return before, before >= end
+
+
 def matches(notice: Notice, folded: str, a: int, b: int) -> list[tuple[int, int, int]]:
-    """start, end and edits of the matches in a stretch that don't overlap, the best first."""
-    if b - a < len(notice.text) - notice.edits:
-        return []
-    fewest = notice.distance(folded[a:b])
-    if fewest > notice.edits:
-        return []
-    m = notice.pattern(fewest).search(folded, a, b)
-    return [*matches(notice, folded, a, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *matches(notice, folded, m.end(), b)]
+    """start, end and edits of the matches in a stretch that don't overlap: the fewest edits first, then the first.
+
+    One pass counts the fewest edits of a match that ends at each place. Places are then taken from the best on; the regex
+    library verifies each in the bounded stretch before it. Where an earlier match cuts that stretch short, the edits are
+    counted anew in what is left, and the place waits for its turn. So the work grows with the stretch, not with its square.
+    """
+    n = len(notice.text)
+    queue = [(e, end) for end, e in notice.ends_at(folded, a, b)]
+    heapq.heapify(queue)
+    taken: list[tuple[int, int, int]] = []
+    while queue:
+        edits, end = heapq.heappop(queue)
+        before, covered = _taken(taken, end)
+        if covered:
+            continue
+        low = max(a, before, end - n - notice.edits)
+        left = next((e for at, e in notice.ends_at(folded, low, end) if at == end), None) if low > max(a, end - n - edits) else edits
+        if left is None:
+            continue
+        if left > edits:
+            heapq.heappush(queue, (left, end))
+            continue
+        m = notice.pattern(edits).search(folded, low, end)
+        if m is not None:
+            taken.insert(bisect_right(taken, m.start(), key=lambda t: t[0]), (m.start(), m.end(), sum(m.fuzzy_counts)))
+    return taken
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, licence, start, end, edits, matched: every notice in every document."""
-    chosen = dict(notices or NOTICES)
+    chosen = dict(NOTICES if notices is None else notices)
+    Scanner(chosen)  # notices that can't be searched for are an error here, not in a task
     made: list[Scanner] = []
 
     @F.pandas_udf("array<struct<licence:string,start:int,end:int,edits:int,matched:string>>")
