@@ -1,17 +1,18 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard of the vectors.
 
-Vectors are hashed into shards of about ``ROWS_A_SHARD``. A shard's graph is built in one task and stored as flat arrays:
-neighbours of layer 0 as a matrix, upper layers as node lists and matrices, with the vectors beside them. Every vector is a
-query: blocks of queries meet every shard, and the best of each query over all shards are merged by an aggregate that adds
-up partly before its shuffle. Similarity is the cosine.
-
-The number of (block, shard) pairs grows with the square of the vectors, as searching all shards must; larger shards make it
-smaller, since a search in a graph takes time in proportion to the logarithm of its size.
-
-Defined results: null or empty vectors, vectors of another length than the first's commonest, and vectors with null, NaN or
-infinite parts have no neighbours and are nobody's neighbour; a vector of zeros has similarity 0 to all; a vector isn't its
-own neighbour (by row, so rows of one vec_id can be neighbours of one another); ties go to the smaller vec_id (null last);
-fewer than ``k`` other vectors give fewer rows; an empty table gives none; other columns are ignored.
+Vectors of one length are hashed into shards of about ``ROWS_A_SHARD``. A shard's graph is built in one task and stored as
+flat arrays: neighbours of layer 0 as a matrix, upper layers as node lists and matrices, with the vectors beside them. A
+table of queries is a stated part of the rows (the query of this folder takes every id divisible by 50): blocks of them meet
+every shard of their length, and the best of each query over all shards are merged. Similarity is the cosine.
+
+Every row is indexed, and building takes time in proportion to the rows. Searching takes the queries times the shards: with
+the queries a fixed share of the rows it grows with the square of the vectors over the shard size.
+
+Defined results: null or empty vectors and vectors with null, NaN or infinite parts have no neighbours and are nobody's
+neighbour; vectors of another length than the query's aren't its neighbours; a vector of zeros has similarity 0 to all; a
+vector isn't its own neighbour (by row, so rows of one vec_id can be neighbours of one another); similarities are rounded to
+6 places, then ties go to the smaller vec_id (null last); fewer than ``k`` other vectors give fewer rows; an empty table gives
+none, nor do no queries; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import materialise, shards_for
+from docquery.llm.common import materialise
 
 ROWS_A_SHARD = 16_384
 QUERIES_A_BLOCK = 2_048
@@ -147,50 +148,57 @@ class Graph:
         return cls(np.frombuffer(vectors, np.float32).reshape(n, -1), layers, entry)
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, row (a number of the row's own) and the vector scaled to length 1, for rows whose vector is whole."""
+def unit_vectors(vectors: DataFrame, is_query: F.Column | None = None) -> DataFrame:
+    """vec_id, asks (whether it is a query), row (a number of the row's own), dim and the vector scaled to length 1, for rows whose vector is whole."""
     v = F.col("embedding").cast("array<double>")
     whole = vectors.where((F.size("embedding") > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    sizes = whole.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return whole.select("vec_id", F.lit(0).cast("bigint").alias("row"), v.alias("unit"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-    return whole.where(F.size("embedding") == sizes["n"]).select("vec_id", F.monotonically_increasing_id().alias("row"), unit.cast("array<float>").alias("unit"))
-
-
-def neighbours(vectors: DataFrame, k: int = 10, rows_a_shard: int = ROWS_A_SHARD, ef: int = EF_SEARCH) -> DataFrame:
-    """vec_id, neighbour_id, rank, similarity: up to ``k`` neighbours of every vector, the nearest first."""
-    spark = vectors.sparkSession
-    units = materialise(unit_vectors(vectors))  # written once, so a row keeps its number
-    n = units.count()
-    shards = shards_for(n, rows_a_shard)
+    # scaled by the largest part first, so that no square is infinite or 0
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    even = F.transform(v, lambda x: F.when(top > 0, x / top).otherwise(F.lit(0.0)))
+    norm = F.sqrt(F.aggregate(F.col("even"), F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("even", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    asks = F.coalesce(is_query, F.lit(False)) if is_query is not None else F.lit(True)
+    some = whole.select("vec_id", asks.alias("asks"), F.monotonically_increasing_id().alias("row"), F.size("embedding").alias("dim"), even.alias("even"))
+    return some.select("vec_id", "asks", "row", "dim", unit.cast("array<float>").alias("unit"))
+
+
+def neighbours(vectors: DataFrame, k: int = 10, rows_a_shard: int = ROWS_A_SHARD, ef: int = EF_SEARCH, is_query: F.Column | None = None) -> DataFrame:
+    """vec_id, neighbour_id, rank, similarity: up to ``k`` neighbours of every vector that ``is_query`` takes (all without it), the nearest first."""
+    units = materialise(unit_vectors(vectors, is_query))  # written once, so a row keeps its number
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    numbered = units.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    size = lambda n, each: F.ceil(F.col(n) / F.lit(each)).cast("int")
+    dims = units.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"))
+    dims = materialise(dims.select("dim", size("n", rows_a_shard).alias("shards"), F.greatest(size("asked", QUERIES_A_BLOCK), F.lit(1)).alias("blocks")))
+    of = units.join(dims, "dim")
+    numbered = of.withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
         g = Graph.build(np.stack(pdf["unit"].to_numpy()).astype(np.float32))
-        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "size": len(pdf), "rows": pdf["row"].to_numpy(np.int64).tobytes(), **g.flat()}])
+        head = {"dim": int(pdf["dim"].iloc[0]), "shard": int(pdf["shard"].iloc[0]), "blocks": int(pdf["blocks"].iloc[0]), "size": len(pdf)}
+        return pd.DataFrame([{**head, "rows": pdf["row"].to_numpy(np.int64).tobytes(), **g.flat()}])
 
-    graphs = materialise(numbered.groupBy("shard").applyInPandas(build, "shard int, size int, rows binary, vectors binary, entry int, nodes array<binary>, near array<binary>"))
-    blocks = shards_for(n, QUERIES_A_BLOCK)
-    pairs = units.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    total = int(dims.agg(F.sum("shards")).first()[0] or 1)  # a task for each shard
+    placed = numbered.repartition(total, "dim", "shard").select("dim", "shard", "blocks", "row", "unit")
+    graphs = materialise(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, blocks int, size int, rows binary, vectors binary, entry int, nodes array<binary>, near array<binary>"))
+    asked = of.where("asks").withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int"))
+    pairs = asked.select("dim", "block", "row", "unit", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
 
     def search(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for _, g in graph.iterrows():
+        for _, g in graph.iterrows() if len(queries) else ():
             own = np.frombuffer(g["rows"], np.int64)
             index = Graph.of(g["vectors"], g["entry"], list(g["nodes"]), list(g["near"]), g["size"])
             for row, q in zip(queries["row"], queries["unit"]):
-                found = [(s, int(own[i])) for s, i in index.search(np.asarray(q, np.float32), k + 1, ef) if own[i] != row][:k]
-                rows += [(row, o, s) for s, o in found]
+                found = [(round(s, 6), int(own[i])) for s, i in index.search(np.asarray(q, np.float32), max(ef, k + 1), ef) if own[i] != row]
+                last = found[k - 1][0] if len(found) >= k else -2.0
+                rows += [(row, o, s) for s, o in found if s >= last]  # with all that tie with the last
         return pd.DataFrame(rows, columns=["row", "other", "similarity"])
 
-    each = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = pairs.groupBy("shard", "block").cogroup(each.groupBy("shard", "block")).applyInPandas(search, "row bigint, other bigint, similarity double")
+    each = graphs.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    found = pairs.groupBy("dim", "shard", "block").cogroup(each.groupBy("dim", "shard", "block")).applyInPandas(search, "row bigint, other bigint, similarity double")
     names = units.select(F.col("row").alias("other"), F.col("vec_id").alias("neighbour_id"))
-    hit = F.struct((-F.round("similarity", 6)).alias("away"), F.col("neighbour_id").isNull().alias("unknown"), "neighbour_id")
+    hit = F.struct((-F.col("similarity")).alias("away"), F.col("neighbour_id").isNull().alias("unknown"), "neighbour_id")
     merged = found.join(names, "other").groupBy("row").agg(F.slice(F.sort_array(F.collect_list(hit)), 1, k).alias("hits"))
     out = merged.join(units.select("row", "vec_id"), "row").select("vec_id", F.posexplode("hits").alias("at", "hit"))
     return out.select("vec_id", F.col("hit.neighbour_id").cast(kind).alias("neighbour_id"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("hit.away")).alias("similarity"))
