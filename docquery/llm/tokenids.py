@@ -16,14 +16,14 @@ name special tokens are ordinary text.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from docquery.llm.common import batch_texts, map_texts, small_batches
+from docquery.llm.common import batch_texts, map_texts, large_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -107,11 +107,10 @@ class Codes:
 class Tokenizer:
     """A byte-level vocabulary. What single spaces part is encoded once for each batch and put together again."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, list[int]] = {}
 
@@ -125,8 +124,8 @@ class Tokenizer:
                 self.known[piece] = found
         return found
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text.
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
+        """Which texts are to be encoded whole; the ids of each distinct piece of the others; the pieces in order; where each text's start.
 
         A pretoken has a space only at its start, unless white space is next to white space. So a text where no space
         is next to white space can be cut before each space; any other is encoded as it is.
@@ -139,9 +138,25 @@ class Tokenizer:
         # a piece at the start of a text has no space before it
         code = np.asarray(flat.indices, dtype=np.int64) * 2 + 1
         code[starts[:-1]] -= 1
-        uniq, code = np.unique(code, return_inverse=True)
-        words = flat.dictionary.take(pa.array(uniq // 2)).to_pylist()
-        ids = [self._of(" " + w if c & 1 else w) for w, c in zip(words, uniq.tolist())]
+        there = np.flatnonzero(np.bincount(code, minlength=2 * len(flat.dictionary)))
+        place = np.zeros(2 * len(flat.dictionary), np.int64)
+        place[there] = np.arange(len(there))
+        words = flat.dictionary.take(pa.array(there // 2)).to_pylist()
+        return beside, [self._of(" " + w if c & 1 else w) for w, c in zip(words, there.tolist())], place[code], starts
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        beside, ids, code, starts = self._pieces(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.r_[0, np.cumsum(size[code])]
+        n = ends[starts[1:]] - ends[starts[:-1]]
+        for i in np.flatnonzero(beside):
+            n[i] = len(self.encoding.encode_ordinary(texts[int(i)].as_py()))
+        return n
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        beside, ids, code, starts = self._pieces(texts)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         pool = np.fromiter((x for i in ids for x in i), np.int64, int(size.sum()))
         begin = np.r_[0, np.cumsum(size)]
@@ -155,16 +170,28 @@ class Tokenizer:
         return got
 
 
+def tokenizer_for(spark: SparkSession, vocabulary: str) -> Callable[[], Tokenizer]:
+    """Makes the tokenizer once in each Python worker. The driver reads the vocabulary and sends it: executors need no such file."""
+    with open(vocabulary, "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())  # a file of a public vocabulary, of some megabytes at most
+    made: list[Tokenizer] = []
+
+    def make() -> Tokenizer:
+        if not made:
+            made.append(Tokenizer(sent.value))
+        return made[0]
+
+    return make
+
+
 def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, codes: each document's ids as directly addressable codes."""
-    made: list[Tokenizer] = []
+    make = tokenizer_for(docs.sparkSession, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Tokenizer(vocabulary))
-        for batch in small_batches(batches, "text"):
+        for batch in large_batches(batches, "text"):
             missing = np.asarray(pc.is_null(batch.column("text")))
-            ids = made[0].encode(batch_texts(batch.column("text")))
+            ids = make().encode(batch_texts(batch.column("text")))
             codes = pa.array([None if gone else encode_ids(i) for i, gone in zip(ids, missing)], pa.binary())
             n = pa.array([None if gone else len(i) for i, gone in zip(ids, missing)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, codes], names=["doc_id", "n_tokens", "codes"])
