@@ -6,12 +6,17 @@ bit flipped; two fingerprints within the radius of 2 share a variant, so a shuff
 Colliding pairs are deduplicated and verified: the fingerprints of all tables together must differ in at most ``SHARE`` of
 their bits, which is an angle between the word sets. Documents that verified pairs connect form a group.
 
-Equal fingerprints are one node, so copies cost nothing more. In a bucket, every node is paired with the smallest one;
-only where such a pair fails verification are all pairs of that bucket tried, so the groups are those of all pairs.
+Equal fingerprints are one node, so copies cost nothing more. In a bucket, every node is paired with the smallest one. Only
+where such a pair fails verification is the bucket searched in full: it is dealt in blocks of at most ``BLOCK`` nodes, pairs of
+blocks are compared inside tasks, and only links that connect more are given out. So the groups are those of all pairs, no
+task holds an unbounded bucket, and pairs aren't written. The comparisons of such a bucket grow with its square.
 
-Defined results: a text without words joins only documents of the very same text; a null text joins none; the document that
+A row is known by 128 bits of its doc_id and text, in which null differs from every value. Groups are never gathered: their
+first document and their size are aggregates.
+
+Defined results: a text without words joins only documents of the very same text; a null text joins none, and all rows with one stay; the document that
 stays is the one with the smallest doc_id (null last), then hash of its text; of rows equal in doc_id and text one stays; an empty
-table gives no rows; other columns are kept by ``keep_one``.
+table gives no rows; texts of any length are read whole; other columns are kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import batch_texts, doc_key, fresh, map_texts, materialise, mix, shards_for, sized, small_batches, split_words
+from docquery.llm.common import batch_texts, doc_key, fresh, map_texts, materialise, mix, shards_for, small_batches, split_words
 
 TABLES = 8
 BITS = 40
 SHARE = 0.16
 ROWS_A_PARTITION = 2_000_000
+BLOCK = 1024
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +70,19 @@ F_NAMES = [f"f{t}" for t in range(TABLES)]
 
 def sign_documents(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the row), node and f0..: a row for each row of ``docs`` whose text isn't null. Rows of one node are copies."""
-    base = docs.where(F.col("text").isNotNull()).select("doc_id", doc_key(docs).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+    base = docs.where(F.col("text").isNotNull()).select("doc_id", doc_key(docs).alias("key"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            f, n = fingerprints(batch_texts(batch.column("text")))
-            same = mix(np.asarray(batch.column("text_hash")).view(np.uint64), 99)
-            node = n.astype(np.uint64) * np.uint64(0)
-            for t in range(TABLES):
-                node = mix(node ^ f[:, t], t)
-            node = np.where(n > 0, node, same)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(f[:, t].view(np.int64)) for t in range(TABLES))], names=["doc_id", "key", "node", "words", *F_NAMES])
+            texts = batch_texts(batch.column("text"))
+            f, n = fingerprints(texts)
+            node = [b"f" + xxhash.xxh3_128_digest(row) for row in map(bytes, np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1))]
+            for i in np.flatnonzero(n == 0):
+                node[i] = b"t" + xxhash.xxh3_128_digest(texts[int(i)].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.binary()), pa.array(n.astype(np.int32)), *(pa.array(f[:, t].view(np.int64)) for t in range(TABLES))], names=["doc_id", "key", "node", "words", *F_NAMES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(base, sign, f"doc_id {kind}, key bigint, node bigint, words int, {', '.join(f'{f} bigint' for f in F_NAMES)}")
+    return map_texts(base, sign, f"doc_id {kind}, key binary, node binary, words int, {', '.join(f'{f} bigint' for f in F_NAMES)}")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -115,6 +121,47 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (apart <= int(SHARE * TABLES * BITS)).alias("near"))
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between near nodes of each pair of blocks in a partition, which holds whole ones: enough to connect all near nodes of it."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    bucket, one, other, chunk, node = (np.asarray(table.column(c)) for c in ("bucket", "one", "other", "chunk", "b"))
+    prints = np.stack([np.asarray(table.column(f)).view(np.uint64) for f in F_NAMES], axis=1)
+    order = np.lexsort((node, other, one, bucket))
+    bucket, one, other, chunk, node, prints = (x[order] for x in (bucket, one, other, chunk, node, prints))
+    new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1])])
+    left, right = [], []
+    for a, b in zip(new, np.r_[new[1:], len(bucket)]):
+        part, own = prints[a:b], node[a:b]
+        across = chunk[a:b] if one[a] != other[a] else None  # nodes of one block meet in that block's own turn
+        root = np.arange(b - a)
+        for i in range(b - a - 1):
+            near = np.flatnonzero(np.bitwise_count(part[i + 1 :] ^ part[i]).sum(axis=1) <= int(SHARE * TABLES * BITS)) + i + 1
+            if across is not None:
+                near = near[across[near] != across[i]]
+            for j in near:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    left.append(own[i])
+                    right.append(own[j])
+    for i in range(0, len(left), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x[i : i + 100_000], np.int64)) for x in (left, right)], names=["a", "b"])
+
+
+def _inside(shared: DataFrame, mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links between the nodes of buckets in which some pair failed."""
+    inside = materialise(shared.join(mixed, "bucket", "left_semi").select("bucket", "b").distinct())
+    blocks = inside.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = inside.join(blocks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("bucket", "b", "chunk", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("other"))
+    whole = each.join(nodes.withColumnRenamed("node", "b"), "b")
+    parts = max(shards_for(inside.count(), ROWS_A_PARTITION // 8), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return whole.repartition(parts, "bucket", "one", "other").mapInArrow(_linked, "a bigint, b bigint").distinct()
+
+
 def near_pairs(nodes: DataFrame) -> DataFrame:
     """Verified pairs of nodes, enough of them to connect all that verified pairs connect."""
     rows = nodes.count() * TABLES * (BITS + 1)
@@ -123,65 +170,57 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     star = materialise(_verified(shared.where("a <> b").select("a", "b").distinct(), nodes))
     failed = star.where(~F.col("near")).select("a", "b")
     mixed = shared.join(failed, ["a", "b"], "left_semi").select("bucket").distinct()
-    inside = materialise(shared.join(mixed, "bucket", "left_semi").select("bucket", "b").distinct())
-    others = inside.alias("x").join(inside.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b"))).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-    rest = _verified(others, nodes).where("near").select("a", "b")
-    return star.where("near").select("a", "b").union(rest)
+    return star.where("near").select("a", "b").union(_inside(shared, mixed, nodes))
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): root is the smallest node that edges connect it to.
 
     Each round links every neighbour, and the node, to the smallest neighbour (large star, small star), so the rounds grow
-    with the logarithm of the longest path. The edges are written out each round.
+    with the logarithm of the longest path. The edges are written out each round, until a round changes none.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    sign = None
-    for _ in range(most):
+    while True:
+        before = now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = materialise(small.where("u <> v").distinct())
-        got = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if got == sign:
+        if now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
-        sign = got
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, key, grp and copies (rows equal in doc_id and text) of every distinct row in a group of several rows."""
+    """doc_id, key, copies (rows equal in doc_id and text), members and best (unknown, doc_id, key) of its group, of every distinct row in a group of several rows."""
     signed = materialise(sign_documents(docs))
     nodes = signed.where("words > 0").groupBy(F.col("node").alias("print")).agg(*(F.first(f).alias(f) for f in F_NAMES))
     # numbers in order of the rows share most of their bytes with their neighbours, so the variants' shuffle packs them well
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = components(near_pairs(nodes)).join(nodes, "node").select(F.col("print").alias("node"), "root")
-    alone = F.col("node").bitwiseOR(F.lit(-(1 << 63)))  # negative, as no root is
-    grouped = signed.join(materialise(roots), "node", "left").select("doc_id", "key", F.coalesce("root", alone).alias("grp"))
-    each = grouped.groupBy("grp", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
-    total = F.sum("copies").over(Window.partitionBy("grp"))
-    return each.withColumn("members", total).where("members > 1")
+    grouped = signed.select("doc_id", "key", "node").join(materialise(roots), "node", "left")
+    grouped = grouped.select("doc_id", "key", F.when(F.col("root").isNull(), F.col("node")).alias("alone"), "root")
+    each = materialise(grouped.groupBy("root", "alone", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies")))
+    ident = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    sums = each.groupBy("root", "alone").agg(F.sum("copies").alias("members"), F.min(ident).alias("best")).where("members > 1")
+    sums = sums.withColumnsRenamed({"root": "g_root", "alone": "g_alone"})
+    return each.join(sums, F.col("root").eqNullSafe(F.col("g_root")) & F.col("alone").eqNullSafe(F.col("g_alone"))).select("doc_id", "key", "copies", "members", "best")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, kept_id, members: every document that has a near copy, the document that stays of its group, and the group's rows."""
-    grouped = materialise(_grouped(docs))
-    kept = grouped.groupBy("grp").agg(F.min("doc_id").alias("kept_id"))
-    return grouped.join(kept, "grp").select("doc_id", "kept_id", F.col("members").cast("bigint").alias("members"))
+    return _grouped(docs).select("doc_id", F.col("best.doc_id").alias("kept_id"), F.col("members").cast("bigint").alias("members"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies, and of each group the one that stays."""
-    grouped = materialise(_grouped(docs))
-    first = Window.partitionBy("grp").orderBy(F.col("doc_id").asc_nulls_last(), "key")
-    ranked = materialise(grouped.withColumn("place", F.row_number().over(first)).select("key", "place", "copies"))
+    ranked = materialise(_grouped(docs).select("key", (F.col("key") == F.col("best.key")).alias("stays"), "copies"))
     (key,) = fresh(docs, "row_key")
     keyed = docs.withColumn(key, doc_key(docs))
-    gone = ranked.where("place > 1 OR copies > 1").select(F.col("key").alias(key))
-    out = keyed.join(sized(gone), key, "left_anti")  # texts are shuffled only where the keys are too many to send
-    again = ranked.where("place = 1 AND copies > 1").select(F.col("key").alias(key))
+    gone = ranked.where("NOT stays OR copies > 1").select(F.col("key").alias(key))
+    out = keyed.join(gone, key, "left_anti")  # by size, Spark sends the keys or shuffles the texts
+    again = ranked.where("stays AND copies > 1").select(F.col("key").alias(key))
     if not again.isEmpty():  # rows equal in doc_id and text: one of them comes back
-        out = out.unionByName(keyed.join(sized(again), key, "left_semi").dropDuplicates([key]))
-    return out.select(*docs.columns)
+        out = out.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
