@@ -11,7 +11,7 @@ the rows by one symbol more, by a stable sort on the transform's symbols, and ne
 that the first ``LENGTH`` rounds don't part have a common prefix of that length; such runs are the repeated intervals.
 
 Defined results: a null text and a text of fewer words have no spans; any length is searched whole; rows equal in doc_id and
-text count as one document; a null doc_id is kept as null; a passage repeated within one document counts; an empty table
+text count as one document; a null doc_id is kept as null and differs from every other; a passage repeated within one document counts; an empty table
 gives no rows; other columns are ignored. Spans that overlap or touch are one.
 """
 
@@ -63,11 +63,11 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
             words, doc, _ = split_words(batch_texts(batch.column("text")), None)
             start, at, anchor = windows(words, doc, length, seed)
             new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-            keys = np.asarray(batch.column("key"))[doc[start[new]]]
+            keys = batch.column("key").take(pa.array(doc[start[new]]))
             for i in range(0, len(new), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(anchor[new[i : i + 100_000]].view(np.int64))], names=["key", "anchor"])
+                yield pa.RecordBatch.from_arrays([keys[i : i + 100_000], pa.array(anchor[new[i : i + 100_000]].view(np.int64))], names=["key", "anchor"])
 
-    return map_texts(docs, find, "key bigint, anchor bigint")
+    return map_texts(docs, find, "key binary, anchor bigint")
 
 
 def rotations(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-SNIPPET = "anchor bigint, words binary, key bigint, start int"
+SNIPPET = "anchor bigint, words binary, key binary, start int"
 
 
 def _snippets(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -170,20 +170,20 @@ def _snippets(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iter
         lists = mix(np.concatenate(wanted).view(np.uint64), 5) ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes), 6)
         take = np.flatnonzero(np.isin(pairs, lists))
         short = mix(words, 7).astype(np.uint32)
-        keys = np.asarray(batch.column("key"))
         cut = [short[start[new[i]] : start[last[i]] + length].tobytes() for i in take]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(mine[take]), pa.array(cut, pa.binary()), pa.array(keys[of[take]]), pa.array((start[new[take]] - starts[of[take]]).astype(np.int32))],
+            [pa.array(mine[take]), pa.array(cut, pa.binary()), batch.column("key").take(pa.array(of[take])), pa.array((start[new[take]] - starts[of[take]]).astype(np.int32))],
             names=["anchor", "words", "key", "start"],
         )
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """key, start, end of the repeated stretches of a partition's snippets; it holds all snippets of its anchors."""
-    table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("anchor", pa.int64()), ("words", pa.binary()), ("key", pa.int64()), ("start", pa.int32())]))])
+    table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("anchor", pa.int64()), ("words", pa.binary()), ("key", pa.binary()), ("start", pa.int32())]))])
     if not table.num_rows:
         return
-    table = table.take(pa.array(np.unique(np.stack([np.asarray(table.column("key")), np.asarray(table.column("start")).astype(np.int64)], axis=1), axis=0, return_index=True)[1]))  # rows of documents that are there twice
+    doc = np.asarray(table.column("key").combine_chunks().dictionary_encode().indices, dtype=np.int64)
+    table = table.take(pa.array(np.unique(doc << 32 | np.asarray(table.column("start")), return_index=True)[1]))  # rows of documents that are there twice
     coded = table.column("words").combine_chunks().dictionary_encode()
     code = np.asarray(coded.indices, dtype=np.int64)
     count = np.bincount(code, minlength=len(coded.dictionary))
@@ -199,24 +199,26 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             runs[i] = _runs(flags)
     for i in np.flatnonzero(count > 1):
         runs[i] = [(0, len(coded.dictionary[int(i)].as_py()) // 4 - length + 1)]
-    key, start = np.asarray(table.column("key")), np.asarray(table.column("start"))
-    out = [(int(key[r]), int(start[r]) + a, int(start[r]) + b - 1 + length) for r in range(len(code)) for a, b in runs[code[r]]]
+    start = np.asarray(table.column("start"))
+    out = [(r, int(start[r]) + a, int(start[r]) + b - 1 + length) for r in range(len(code)) for a, b in runs[code[r]]]
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["key", "start", "end"])
+        keys = table.column("key").take(pa.array([o[0] for o in out])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([keys, pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["key", "start", "end"])
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words: the stretches of each document made of windows that occur more than once."""
     spark = docs.sparkSession
     base = docs.where(F.length("text") >= 2 * length - 1).select("doc_id", doc_key(docs).alias("key"), "text")
-    anchors = _anchors(base.select("key", "text"), length, seed)
-    several = anchors.withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("all > 1")
+    anchors = materialise(_anchors(base.select("key", "text"), length, seed))
+    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("anchor")
+    several = anchors.join(shared, "anchor")
     several = materialise(several.groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.count(F.lit(1)).cast("int").alias("n")))
     total = several.agg(F.sum("n")).first()[0] or 0
     parts = max(shards_for(total, SNIPPETS_A_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = base.select("key", "text").join(several, "key").select("key", "text", "anchors")
     snippets = map_texts(texts, lambda b: _snippets(b, length, seed), SNIPPET).repartition(parts, "anchor")
-    found = snippets.mapInArrow(lambda b: _repeats(b, length), "key bigint, start int, end int").distinct()
+    found = snippets.mapInArrow(lambda b: _repeats(b, length), "key binary, start int, end int").distinct()
     order = Window.partitionBy("key").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("fresh", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(order))
