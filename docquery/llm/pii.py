@@ -179,7 +179,7 @@ def _secrets(text: str) -> list[tuple[int, int]]:
     found, last, done = [], 0, 0
     for m in re.finditer("[=:]", text) if "=" in text or ":" in text else ():
         at = m.start()
-        if at >= done:
+        if at + 1 >= done:  # what an earlier one inside a value names is part of that value
             words = text[last:at].rstrip().rstrip("\"'").rsplit(None, 1)
             if words and KEYWORD.search(NOT_NAME.split(words[-1])[-1]):
                 value = VALUE.match(text, at + 1)
