@@ -32,17 +32,37 @@ class Engine:
 
     def __init__(self, data: DataFrame | dict[str, DataFrame], id_column: str = "_id", compat: bool = False, precision: str = "year", dates: list[str] | None = None, today: dt.date | None = None):
         self.df = search.union_of(data) if isinstance(data, dict) else data
-        self.id_column, self.compat = id_column, compat
+        self.id_column, self.compat, self.place = id_column, compat, None
         self.options = {"precision": precision, "dates": frozenset(dates or ()), "hidden": frozenset({"_id", "_index"})}
         if today:
             self.options["today"] = today
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, **options) -> Engine:
+    def open(cls, spark: SparkSession, path: str, passphrase: str | None = None, **options) -> Engine:
         """A dataset that ``sources.catalog`` keeps, or a folder of several."""
         from docquery.sources.catalog import Catalog
 
-        return cls(Catalog.load(spark, path), **({"compat": True} | options))
+        out = cls(Catalog.load(spark, path, passphrase), **({"compat": True} | options))
+        out.place = spark, path, passphrase
+        return out
+
+    def set_key(self, passphrase: str) -> None:
+        """Open the dataset anew with its passphrase."""
+        self._reopen(passphrase)
+
+    def reload_stats(self) -> None:
+        """Take in rows and columns that were added since."""
+        self._reopen(self.place[2] if self.place else None)
+
+    def _reopen(self, passphrase: str | None) -> None:
+        from docquery.sources.catalog import Catalog
+
+        if self.place is None:
+            raise ValueError("only an engine that was opened at a path can be opened anew")
+        spark, path, _ = self.place
+        data = Catalog.load(spark, path, passphrase)
+        self.df = search.union_of(data) if isinstance(data, dict) else data
+        self.place = spark, path, passphrase
 
     def predicate(self, query: str | parser.Node | None) -> Column:
         return Binder(self.df, compat=self.compat, **self.options).predicate(query)
@@ -86,7 +106,15 @@ class Engine:
     def aggregate(self, query: str | None, aggs: dict, size: int = 10) -> dict:
         """Facets and statistics of the matching documents (of all without a query), by request name."""
         found = self.match(query) if query else self.df
-        return {"hits": {"total": found.count()}, "aggregations": agg.aggregate(found, aggs, size)}
+        if len(agg.requests(aggs)) < 2:
+            return {"hits": {"total": found.count()}, "aggregations": agg.aggregate(found, aggs, size)}
+        steps = [Binder(self.df).steps(options["field"]) for _, options in agg.requests(aggs).values()]
+        names = dict.fromkeys(step[0].name for step in steps if step) or {self.df.columns[0]: None}
+        found = found.select(*(F.col(f"`{c}`") for c in names)).persist()  # the fields asked for, read and filtered once
+        try:
+            return {"hits": {"total": found.count()}, "aggregations": agg.aggregate(found, aggs, size)}
+        finally:
+            found.unpersist()
 
     def join(self, query_a: str, query_b: str, on: str) -> DataFrame:
         return joins.join(self.match(query_a), self.match(query_b), on)

@@ -5,6 +5,8 @@ Every request is one tidy DataFrame; numeric requests of one call share a single
 
 from __future__ import annotations
 
+import decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +60,28 @@ def value_of(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
 
 
 def numeric(df: DataFrame, path: str) -> Column:
+    """A number that can be compared and divided: whole numbers and decimals stay what they are, other values become doubles."""
     c, kind = value_of(df, path)
+    if isinstance(kind, T.IntegralType):
+        return c.cast("bigint")
     if isinstance(kind, T.NumericType):
-        return c.cast("double")
+        return c if isinstance(kind, T.DecimalType) else c.cast("double")
     return number(c.cast("string"))
 
 
+def _sum(df: DataFrame, path: str) -> Column:
+    """Exact for whole numbers, beyond 64 bits too."""
+    v = numeric(df, path)
+    return F.sum(v.cast("decimal(38,0)") if isinstance(value_of(df, path)[1], T.IntegralType) else v)
+
+
+def plain_number(v: object) -> object:
+    """A whole decimal as an int, another as a float, anything else as it is."""
+    if isinstance(v, decimal.Decimal):
+        return int(v) if v == v.to_integral_value() else float(v)
+    return v
+
+
 def _items(df: DataFrame, path: str) -> DataFrame:
     """One row ``key`` for each value; arrays, and text that is a JSON array, give one for each element."""
     c, kind = value_of(df, path)
@@ -77,13 +95,20 @@ def _items(df: DataFrame, path: str) -> DataFrame:
 
 def terms(df: DataFrame, path: str, size: int = 10) -> DataFrame:
     """key, doc_count of the commonest values; equal counts in order of the key. Blank values don't count."""
-    counted = _items(df, path).where(F.trim("key") != "").groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"))
+    return top(counts(df, path), size)
+
+
+def counts(df: DataFrame, path: str) -> DataFrame:
+    return _items(df, path).where(F.trim("key") != "").groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"))
+
+
+def top(counted: DataFrame, size: int) -> DataFrame:
     return counted.orderBy(F.desc("doc_count"), "key").limit(size)
 
 
 def histogram(df: DataFrame, path: str, interval: float) -> DataFrame:
     """key (the bucket's lower end), doc_count."""
-    key = (F.floor(numeric(df, path) / F.lit(float(interval))) * F.lit(float(interval))).cast("double")
+    key = (F.floor(numeric(df, path).cast("double") / F.lit(float(interval))) * F.lit(float(interval))).cast("double")
     return df.select(key.alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("doc_count")).orderBy("key")
 
 
@@ -93,7 +118,7 @@ def date_histogram(df: DataFrame, path: str, interval: str = "day", epoch: bool
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         when = c.cast("timestamp_ntz")
     elif epoch:
-        seconds = numeric(df, path)
+        seconds = numeric(df, path).cast("double")
         when = F.when((seconds > 0) & (seconds < 4102444800), F.timestamp_seconds(seconds)).cast("timestamp_ntz")
     else:
         plain = F.regexp_replace(c.cast("string"), r"^\s*(\d{2})[-/|.](\d{2})[-/|.](\d{4})", "$3$2$1")
@@ -112,7 +137,7 @@ def numbers(df: DataFrame, wanted: dict[str, tuple[str, dict]]) -> DataFrame:
     out = []
     for i, (kind, options) in enumerate(wanted.values()):
         v, c = numeric(df, options["field"]), value_of(df, options["field"])[0]
-        for part, value in (("count", F.count(v)), ("min", F.min(v)), ("max", F.max(v)), ("avg", F.avg(v)), ("sum", F.sum(v))):
+        for part, value in (("count", F.count(v)), ("min", F.min(v)), ("max", F.max(v)), ("avg", F.avg(v)), ("sum", _sum(df, options["field"]))):
             if kind in ("stats", part):
                 out.append(value.alias(f"{i}_{part}"))
         if kind == "cardinality":
@@ -133,22 +158,31 @@ def bucketed(df: DataFrame, kind: str, options: dict, size: int = 10) -> DataFra
 
 
 def aggregate(df: DataFrame, aggs: dict, size: int = 10) -> dict:
-    """The answers by name. Only bounded buckets and single values reach the driver."""
+    """The answers by name. Only bounded buckets and single values reach the driver.
+
+    A terms facet is grouped once: its buckets and the number of its other keys come from the same counts.
+    """
     wanted = requests(aggs)
     numeric_ones = {n: w for n, w in wanted.items() if w[0] in NUMERIC}
     out: dict = {}
     row = numbers(df, numeric_ones).first().asDict() if numeric_ones else {}
     for i, (name, (kind, _)) in enumerate(numeric_ones.items()):
-        own = {k.partition("_")[2]: v for k, v in row.items() if k.startswith(f"{i}_")}
+        own = {k.partition("_")[2]: plain_number(v) for k, v in row.items() if k.startswith(f"{i}_")}
         out[name] = own if kind == "stats" else {"value": next(iter(own.values()))}
     for name, (kind, options) in wanted.items():
         if kind not in BUCKETS:
             continue
-        rows = [r.asDict() for r in bucketed(df, kind, options, size).collect()]
+        keys = 0
+        if kind == "terms":
+            counted = counts(df, options["field"]).persist()
+            rows = [r.asDict() for r in top(counted, options.get("size", size)).collect()]
+            keys = counted.count()
+            counted.unpersist()
+        else:
+            rows = [r.asDict() for r in bucketed(df, kind, options, size).collect()]
         if kind == "date_histogram":
             rows = [{"key": r["key"], "key_as_string": r["key"], "doc_count": r["doc_count"]} for r in rows]
         out[name] = {"buckets": rows}
         if kind == "terms":
-            keys = _items(df, options["field"]).where(F.trim("key") != "").agg(F.count_distinct("key")).first()[0]
             out[name]["sum_other_doc_count"] = max(0, keys - len(rows))
     return {name: out[name] for name in wanted}

@@ -49,10 +49,15 @@ def cross_lookup(source: DataFrame, target: DataFrame, link: str, target_field:
     fields = [id_column, *(f for f in fields if f != id_column)] if id_column in target.columns else fields
     document = F.struct(*(F.col(f"`{c}`") for c in fields))
     value = value_of(target, target_field)[0].cast("string")
+    unique = id_column in target.columns
     words = F.array(F.lower(F.trim(value))) if strict else F.array_distinct(F.concat(F.array(F.lower(F.trim(value))), tokens(value)))
     order = [id_column] if id_column in target.columns else target.columns[:1]
-    other = target.select(F.explode(words).alias("_key"), F.col(f"`{order[0]}`").alias("_order"), document.alias("_match"))
-    found = one.join(other, "_key")
+    # keys and ids are matched first; only documents that a key has found are copied
+    pairs = target.select(F.explode(words).alias("_key"), F.col(f"`{order[0]}`").alias("_order")).distinct().join(one.select("_key"), "_key", "left_semi")
+    if matches is not None and unique:
+        pairs = pairs.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_order"))).where(F.col("_at") <= matches).drop("_at")
+    documents = target.select(F.col(f"`{order[0]}`").alias("_of"), words.alias("_words"), document.alias("_match"))
+    found = pairs.join(documents, F.col("_order").eqNullSafe(F.col("_of")) & F.array_contains("_words", F.col("_key"))).join(one, "_key")
     if matches is not None:
         found = found.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_order"))).where(F.col("_at") <= matches)
     hits = found.groupBy("_key").agg(F.first("_source").alias("_source"), F.sort_array(F.collect_list(F.struct("_order", "_match"))).alias("_hits"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquery.functions.text import canonical_key, has_token, number
-from docquery.plans.parser import And, AndNot, Node, Not, Or, QuerySyntaxError, Range, Term, check, parse
+from docquery.plans.parser import ESCAPED, And, AndNot, Node, Not, Or, QuerySyntaxError, Range, Term, check, parse
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -146,8 +146,9 @@ class Binder:
 
     def term(self, t: Term) -> Column:
         value = t.value.strip()
-        bare = value.strip("%* ").lower()
-        wild = "*" in value or "%" in value
+        hidden = _hidden(value)
+        bare = _shown(hidden.strip("%* ")).lower()
+        wild = "*" in hidden or "%" in hidden
         if not bare:
             return F.lit(wild)
         if wild:
@@ -286,10 +287,25 @@ def _between(c: Column, op: str, low: float | None, high: float | None) -> Colum
     return c <= low
 
 
+_MARKS = {ESCAPED + "*": "\ue001", ESCAPED + "%": "\ue002"}
+
+
+def _hidden(text: str) -> str:
+    """Protected wildcards as signs of their own."""
+    for mark, sign in _MARKS.items():
+        text = text.replace(mark, sign)
+    return text
+
+
+def _shown(text: str) -> str:
+    for mark, sign in _MARKS.items():
+        text = text.replace(sign, mark[1])
+    return text
+
+
 def wild_match(c: Column, pattern: str) -> Column:
     """Case aside; ``*`` and ``%`` stand for anything on one line, and the rest is anchored to the whole value."""
-    clean = pattern.strip().lower()
-    parts = re.split(r"[*%]+", clean)
+    parts = [_shown(p) for p in re.split(r"[*%]+", _hidden(pattern.strip()).lower())]
     low, some = F.lower(c), [p for p in parts if p]
     if len(some) == 1:
         if not parts[0] and not parts[-1]:

@@ -105,7 +105,8 @@ def lex(query: str) -> list[str]:
 
 
 def _plain(text: str) -> str:
-    return text.replace(ESCAPED, "")
+    """Without the marks of protected characters, but for ``*`` and ``%``, which the mark keeps from being wildcards."""
+    return re.sub(f"{ESCAPED}(?![*%])", "", text)
 
 
 def _unquoted(text: str) -> tuple[str, bool]:

@@ -11,25 +11,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = (".csv", ".tsv", ".json", ".jsonl", ".ndjson")
-SKIPPED = {"data", "testdata", "tmp", ".git", "__pycache__"}
+SKIPPED = {"data", "testdata", "tmp", ".git", "__pycache__"}  # working folders; a root of such a name is still read
 ACTIONS = ("index", "create", "update", "delete")
 
 
-def discover(folder: str) -> list[str]:
-    """Data files under a folder, compressed ones too, in order of their names."""
-    found = []
-    for root, folders, files in os.walk(folder):
-        folders[:] = sorted(d for d in folders if d not in SKIPPED)
-        found += [os.path.join(root, f) for f in sorted(files) if f.removesuffix(".gz").removesuffix(".bz2").endswith(FORMATS)]
-    return found
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def discover(spark: SparkSession, folder: str, skipped: set[str] | frozenset[str] = frozenset(SKIPPED)) -> list[str]:
+    """Data files under a folder of any Hadoop file system, compressed ones too, in order of their paths. Folders named in ``skipped`` are passed over."""
+    found, todo = [], [folder.rstrip("/")]
+    while todo:
+        at = todo.pop()
+        p, fs = _path(spark, at)
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if name not in skipped:
+                    todo.append(f"{at}/{name}")
+            elif name.removesuffix(".gz").removesuffix(".bz2").endswith(FORMATS):
+                found.append(f"{at}/{name}")
+    return sorted(found)
+
+
+def json_schema(lines: DataFrame, column: str = "value") -> T.StructType:
+    """The schema of JSON objects in a column of text, inferred in the JVM from all rows."""
+    spark = lines.sparkSession
+    strings = getattr(lines.select(column)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    found = spark._jsparkSession.read().option("mode", "DROPMALFORMED").json(strings).schema()
+    return T.StructType.fromJson(json.loads(found.json()))
 
 
 def _head(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
     return [r[0] for r in spark.read.text(path).limit(lines).collect()]
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
-    """All columns as text. Rows of another number of fields are dropped. ``columns`` names those of a file without a header."""
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: list[str] | None = None, multiline: bool | None = None) -> DataFrame:
+    """All columns as text. Rows of another number of fields are dropped. ``columns`` names those of a file without a header.
+
+    A quoted value may hold line breaks. Unless ``multiline`` says so, one pass over the lines finds out whether any has an
+    odd number of quotes; only then is the file read as a whole, since such files can't be split.
+    """
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
     names = columns
     if names is None:
         head = _head(spark, path, 1)
@@ -49,10 +82,10 @@ def _object(line: str) -> dict | None:
 
 
 def sniff(lines: list[str]) -> str:
-    """json (whole file), jsonl, dump, bulk or response, from a file's first lines."""
+    """array or json (one object in the whole file), jsonl, dump or bulk, from a file's first lines."""
     some = [x.strip() for x in lines if x.strip()]
     if not some or some[0][0] == "[":
-        return "json"
+        return "array"
     first = _object(some[0])
     if first is None:
         return "json" if not any(_object(x) for x in some[1:]) else "jsonl"
@@ -68,12 +101,12 @@ def read_json(spark: SparkSession, path: str, shape: str | None = None) -> DataF
     shape = shape or sniff(_head(spark, path))
     if shape == "bulk":
         return _bulk(spark, path)
-    df = spark.read.options(multiLine=shape == "json", mode="DROPMALFORMED", allowSingleQuotes=True).json(path)
-    return unwrap(df)
+    df = spark.read.options(multiLine=shape in ("array", "json"), mode="DROPMALFORMED", allowSingleQuotes=True).json(path)
+    return unwrap(df, path if shape == "json" else None)
 
 
-def unwrap(df: DataFrame) -> DataFrame:
-    """Documents inside ``_source``, ``hits.hits`` or the first list of objects."""
+def unwrap(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Documents inside ``_source`` or ``hits.hits``; of a file that is one object, those in its first list of objects, if it has any."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     hits = kinds.get("hits")
     if isinstance(hits, T.StructType) and "hits" in hits.names and isinstance(hits["hits"].dataType, T.ArrayType):
@@ -81,10 +114,12 @@ def unwrap(df: DataFrame) -> DataFrame:
     if isinstance(kinds.get("_source"), T.StructType):
         return df.select("_source.*")
     lists = [n for n, k in kinds.items() if isinstance(k, T.ArrayType) and isinstance(k.elementType, T.StructType)]
-    scalars = [n for n, k in kinds.items() if n not in lists and not isinstance(k, T.StructType)]
-    if lists and len(kinds) - len(lists) == len(scalars) and len(kinds) <= 4 and df.limit(2).count() == 1:
-        return df.select(F.explode(F.col(f"`{lists[0]}`")).alias("d")).select("d.*")
-    return df
+    if path is None or not lists:
+        return df
+    if len(lists) > 1:  # the schema is in order of the names; the file's own order decides
+        keys = df.sparkSession.read.text(path, wholetext=True).select(F.json_object_keys("value")).first()[0] or lists
+        lists.sort(key=lambda n: keys.index(n) if n in keys else len(keys))
+    return df.select(F.explode(F.col(f"`{lists[0]}`")).alias("d")).select("d.*")
 
 
 def _bulk(spark: SparkSession, path: str) -> DataFrame:
@@ -93,8 +128,7 @@ def _bulk(spark: SparkSession, path: str) -> DataFrame:
     keys = F.json_object_keys("value")
     action = (F.size(keys) == 1) & F.get(keys, F.lit(0)).isin(*ACTIONS)
     documents = lines.where(F.coalesce(~action, F.lit(False)))
-    schema = spark.read.option("mode", "DROPMALFORMED").json(documents.rdd.map(lambda r: r[0])).schema  # Spark infers it from the lines
-    return documents.select(F.from_json("value", schema).alias("d")).where("d IS NOT NULL").select("d.*")
+    return documents.select(F.from_json("value", json_schema(documents)).alias("d")).where("d IS NOT NULL").select("d.*")
 
 
 def read(spark: SparkSession, path: str, delimiter: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -107,6 +141,30 @@ def read(spark: SparkSession, path: str, delimiter: str | None = None, columns:
     return read_json(spark, path)
 
 
+def select_path(df: DataFrame, source_field: str) -> DataFrame:
+    """The rows at a dotted path: the elements of a list, or one row for an object."""
+    c, kind = F.col(f"`{source_field.split('.')[0]}`"), df.schema[source_field.split(".")[0]].dataType
+    for step in source_field.split(".")[1:]:
+        kind = kind[step].dataType
+        c = c[step]
+    return df.select((F.explode(c) if isinstance(kind, T.ArrayType) else c).alias("d")).select("d.*")
+
+
+def read_url(spark: SparkSession, url: str, folder: str, source_field: str | None = None, delimiter: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A file behind a URL, downloaded into ``folder``, which all executors share. ``source_field`` is where its rows are."""
+    path = fetch(url, folder)
+    if source_field is None:
+        return read(spark, path, delimiter, columns)
+    shape = sniff(_head(spark, path))
+    return select_path(spark.read.options(multiLine=shape in ("array", "json"), mode="DROPMALFORMED").json(path), source_field)
+
+
+def preview(df: DataFrame, page: int = 0, page_size: int = 20) -> dict:
+    """A page of rows in the order in which they are read, the columns and whether more follow."""
+    rows = df.offset(page * page_size).limit(page_size + 1).collect()
+    return {"columns": df.columns, "rows": [r.asDict(recursive=True) for r in rows[:page_size]], "more": len(rows) > page_size}
+
+
 def fetch(url: str, folder: str) -> str:
     """Download a file for ``read``; the name keeps the suffix."""
     from urllib.parse import urlsplit

@@ -211,6 +211,27 @@ def words(v):
     return {w for w in out if len(w) >= 2}
 
 
+def test_duplicates_with_ids_that_repeat(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (3, "d"), (4, None), (5, None)], "_id int, v string")
+    assert sorted(map(repr, map(tuple, dedup.deduplicate(rows).collect()))) == sorted(map(repr, [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, None)]))
+    assert dedup.deduplicate(rows.limit(0)).count() == 0
+
+
+def test_exact_sums(spark):
+    rows = spark.createDataFrame([(9007199254740993,), (2,)], "n bigint")
+    got = Engine(rows, "n").aggregate("*", {"s": {"sum": {"field": "n"}}, "m": {"max": {"field": "n"}}})["aggregations"]
+    assert got["s"]["value"] == 9007199254740995 and got["m"]["value"] == 9007199254740993
+    big = spark.createDataFrame([(2**63 - 1,)] * 3, "n bigint")
+    assert Engine(big, "n").aggregate("*", {"sum": {"field": "n"}})["aggregations"]["sum"]["value"] == 3 * (2**63 - 1)
+
+
+def test_protected_wildcards(spark):
+    rows = spark.createDataFrame([(0, "a*b"), (1, "aXXb"), (2, "50%"), (3, "50 percent")], "_id int, v string")
+    e = Engine(rows)
+    for query, ids in ((r"v:a\*b", {0}), ("v:a*b", {0, 1}), (r"v:50\%", {2}), (r"v:a\**", {0}), (r"v:*\%", {2}), (r"v:\*", set())):
+        assert {r["_id"] for r in e.match(query).collect()} == ids, query
+
+
 VALUES = ["Jakarta Selatan", "ann.b@mail.io", "+62 812-3456-789", "2026-01-15T08:20:10", "a", "  x y  ", "['a', 'b']", "C:\\dir|e", "123", "1234", "12345678", "user@a@b.c", "", "ÜBER-größe", "a.b,c"]
 
 

@@ -36,6 +36,82 @@ def test_json_shapes(spark, tmp_path, name, text, suffix, pack):
     assert [r.asDict() for r in got] == ROWS
 
 
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert sorted(map(tuple, readers.read(spark, str(tmp_path / "a.csv")).collect())) == [("1", "two\nlines"), ("2", "plain")]
+
+
+def test_wrapped_lists(spark, tmp_path):
+    many = {"page": 1, "total": 3, "ok": True, "took": 2, "server": {"id": 4}, "zeta": ROWS, "alpha": [{"no": 1}]}
+    (tmp_path / "w.json").write_text(json.dumps(many))
+    assert sorted(r.id for r in readers.read(spark, str(tmp_path / "w.json")).collect()) == [0, 1, 2]
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "items": [{"x": 1}]}]))
+    assert [r.id for r in readers.read(spark, str(tmp_path / "a.json")).collect()] == [1]
+    (tmp_path / "deep.json").write_text(json.dumps({"result": {"rows": ROWS}}))
+    got = readers.read_url(spark, (tmp_path / "deep.json").as_uri(), str(tmp_path / "root"), "result.rows") if (tmp_path / "root").mkdir() is None else None
+    assert sorted(r.id for r in got.collect()) == [0, 1, 2]
+    page = readers.preview(got.orderBy("id"), 1, 2)
+    assert [r["id"] for r in page["rows"]] == [2] and not page["more"] and readers.preview(got, 0, 2)["more"]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, text in (("a", "name\nann\nbob\n"), ("b", "name\ncy\n")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "part.csv").write_text(text)
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    catalog.build("d", str(tmp_path / "in"))
+    rows = catalog.open("d").collect()
+    assert sorted((r.name, r._id, r._source) for r in rows) == [("ann", 0, "part.csv"), ("bob", 1, "part.csv"), ("cy", 2, "part.csv")]
+
+
+def test_one_type_for_a_column_in_all_files(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    files = {"1": 'zq,w\n5,1\n7,2\n', "2": 'zq,w\nfive,2.5\n', "3": 'zq,extra\n9,x\n'}
+    (tmp_path / "in").mkdir()
+    for name, text in files.items():
+        (tmp_path / "in" / f"{name}.csv").write_text(text)
+    catalog.build("d", str(tmp_path / "in"))
+    got = sorted((r._id, r.zq, r.w, r.extra) for r in catalog.open("d").collect())
+    assert got == [(0, "5", 1.0, None), (1, "7", 2.0, None), (2, "five", 2.5, None), (3, "9", None, "x")]
+    catalog.append("d", [{"zq": 3, "nested": {"a": 1}}])
+    catalog.append("d", [{"zq": 4, "nested": {"a": "x", "b": [1]}}])
+    catalog.append("d", [{"nested": {"a": "y", "b": ["q"]}}])
+    last = sorted(catalog.open("d").where("_id > 3").collect(), key=lambda r: r._id)
+    assert [(r.zq, r.nested.a, r.nested.b) for r in last] == [("3", "1", None), ("4", "x", ["1"]), (None, "y", ["q"])]
+    assert Engine(catalog.open("d")).count("nested.a:x") == 1
+
+
+def test_sealed_datasets_take_no_rows_and_show_no_key(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("name\nann\n")
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    catalog.build("p", str(tmp_path / "p.csv"))
+    catalog.seal("p", "secret")
+    for act in (lambda: catalog.build("p", str(tmp_path / "p.csv")), lambda: catalog.append("p", [{"name": "bo"}]), lambda: catalog.deduplicate("p"), lambda: catalog.seal("p", "x")):
+        with pytest.raises(PermissionError):
+            act()
+    key = catalog._key("secret", catalog._read("p")["sealed"]["salt"])
+    plan = catalog.open("p", "secret")._jdf.queryExecution().toString()
+    assert key not in plan and key.upper() not in plan
+    e = Engine.open(spark, str(tmp_path / "root" / "p"), passphrase="secret")
+    assert e.count("name:ann") == 1
+    catalog.compress("p")
+    catalog.unseal("p", "secret")
+    catalog.append("p", [{"name": "bo"}])
+    e.reload_stats()
+    assert e.count("*") == 2
+
+
+def test_names_of_headerless_files_are_kept(spark, tmp_path):
+    f = tmp_path / "h.csv"
+    f.write_text("ann;1\n")
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    catalog.build("h", str(f), delimiter=";", columns=["who", "n"])
+    f.write_text("ann;1\nbo;2\n")
+    catalog.build("h", str(f))
+    assert sorted(r.who for r in catalog.open("h").collect()) == ["ann", "bo"]
+    assert catalog.estimate(str(tmp_path / "h.csv"))["rows"] >= 1
+
+
 def test_a_single_object(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"id": 7, "name": "x"}, indent=2))
     assert readers.read(spark, str(tmp_path / "one.json")).collect()[0].id == 7
@@ -49,7 +125,7 @@ def test_csv(spark, tmp_path):
     (tmp_path / "data").mkdir()
     (tmp_path / "data" / "hidden.csv").write_text("a\n1\n")
     (tmp_path / "c.jsonl.gz").write_bytes(b"")
-    assert [p.rpartition("/")[2] for p in readers.discover(str(tmp_path))] == ["a.csv", "c.jsonl.gz"]
+    assert [p.rpartition("/")[2] for p in readers.discover(spark, str(tmp_path))] == ["a.csv", "c.jsonl.gz"]
 
 
 @pytest.mark.parametrize(
