@@ -66,12 +66,12 @@ def test_files_of_one_name_stay_apart(spark, tmp_path):
 
 def test_one_type_for_a_column_in_all_files(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "root"))
-    files = {"1": 'zq,w\n5,1\n7,2\n', "2": 'zq,w\nfive,2.5\n', "3": 'zq,extra\n9,x\n'}
+    files = {"1": 'zq,zqv\n5,1\n7,2\n', "2": 'zq,w\nfive,2.5\n', "3": 'zq,extra\n9,x\n'}
     (tmp_path / "in").mkdir()
     for name, text in files.items():
         (tmp_path / "in" / f"{name}.csv").write_text(text)
     catalog.build("d", str(tmp_path / "in"))
-    got = sorted((r._id, r.zq, r.w, r.extra) for r in catalog.open("d").collect())
+    got = sorted((r._id, r.zq, r.zqv, r.extra) for r in catalog.open("d").collect())
     assert got == [(0, "5", 1.0, None), (1, "7", 2.0, None), (2, "five", 2.5, None), (3, "9", None, "x")]
     catalog.append("d", [{"zq": 3, "nested": {"a": 1}}])
     catalog.append("d", [{"zq": 4, "nested": {"a": "x", "b": [1]}}])
