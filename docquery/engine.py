@@ -87,11 +87,15 @@ class Engine:
         return Page(found.count(), search.page(found, page, page_size, self.id_column), page, page_size)
 
     def search_and(self, conditions: list[tuple[str | None, str]], page: int = 0, page_size: int = 20) -> Page:
-        """Documents that meet every (column, term)."""
+        """A page of the documents that meet every (column, term)."""
+        return self._page(self.match_and(conditions), page, page_size)
+
+    def match_and(self, conditions: list[tuple[str | None, str]]) -> DataFrame:
+        """All documents that meet every (column, term); none without conditions."""
         test = F.lit(bool(conditions))
         for column, term in conditions:
             test = test & self._term(term, column)
-        return self._page(self.df.where(test), page, page_size)
+        return self.df.where(test)
 
     def multi_search(self, queries: list[str], page_size: int = 10) -> list[Page]:
         return [self.query(q, 0, page_size) for q in queries]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def page(df: DataFrame, number: int = 0, size: int = 20, order: str = "_id") -> DataFrame:
+def page(df: DataFrame, number: int = 0, size: int = 20, order: str | list[str] = "_id") -> DataFrame:
     """Page ``number`` (from 0) of ``size`` documents in order of their ids. Early pages become a top-k, not a sort of all."""
     ordered = df.orderBy(order)
     return ordered.limit((number + 1) * size).offset(number * size) if number else ordered.limit(size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from docquery.engine import Engine
 from docquery.functions import text
 from docquery.operators import aggregate as agg
 from docquery.operators import dedup, joins, search
+from docquery.source_queries import QUERIES
 from docquery.sources.flatten import collapse, expand
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,23 +110,38 @@ add(
 )
 add("count", lambda s, d: engine(s, d, "lineitem").match("l_returnflag:R AND l_discount:>=0.05").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem WHERE lower(l_returnflag) = 'r' AND l_discount >= 0.05")
 _MANY = ["p_name:ring", "p_size:[1 TO 5]", "p_name:*nut"]
-add(
-    "multi_search",
-    lambda s, d: engine(s, d, "part").df.agg(*(F.count_if(engine(s, d, "part").predicate(q)).alias(f"q{i}") for i, q in enumerate(_MANY))),
-    f"SELECT count(*) FILTER ({has('p_name', 'ring')}) AS q0, count(*) FILTER (p_size BETWEEN 1 AND 5) AS q1, count(*) FILTER (ends_with(lower(p_name), 'nut')) AS q2 FROM part",
-)
-_CONDITIONS = [("p_name", "ring"), ("p_type", "*o*"), ("p_size", "10")]
+
+_MANY = {"p_name:ring": has("p_name", "ring"), "p_size:[1 TO 5]": "p_size BETWEEN 1 AND 5", "p_name:*nut": "ends_with(lower(p_name), 'nut')"}
+
+
+def _multi_search(s: SparkSession, d: str) -> DataFrame:
+    pages = engine(s, d, "part").multi_search(list(_MANY))
+    return reduce(DataFrame.union, [p.hits.select(F.lit(f"q{i}").alias("q"), F.lit(p.total).cast("bigint").alias("total"), "p_partkey") for i, p in enumerate(pages)])
+
+
+add("multi_search", _multi_search, " UNION ALL ".join(f"SELECT 'q{i}' AS q, (SELECT count(*) FROM part WHERE {w}) AS total, p_partkey FROM (SELECT p_partkey FROM part WHERE {w} ORDER BY p_partkey LIMIT 10)" for i, w in enumerate(_MANY.values())))
 add(
     "search_and",
-    lambda s, d: (e := engine(s, d, "part")).df.where(e._term(_CONDITIONS[0][1], "p_name") & e._term(_CONDITIONS[1][1], "p_type")).select("p_partkey"),
-    f"SELECT p_partkey FROM part WHERE {has('p_name', 'ring')} AND contains(lower(p_type), 'o')",
+    lambda s, d: engine(s, d, "part").match_and([("p_name", "ring"), ("p_type", "*o*"), ("p_size", "10")]).select("p_partkey"),
+    f"SELECT p_partkey FROM part WHERE {has('p_name', 'ring')} AND contains(lower(p_type), 'o') AND p_size = 10",
 )
-add("get_document", lambda s, d: read(s, d, "documents").where(F.col("doc_id") == 7).select("doc_id", "lang", "source", "n_chars"), "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
+
+
+def _document(s: SparkSession, d: str) -> DataFrame:
+    e = engine(s, d, "documents")
+    found = e.get(7)
+    return s.createDataFrame([found] if found else [], e.df.schema).select("doc_id", "lang", "source", "n_chars")
+
+
+add("get_document", _document, "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
 add(
     "lookup_projection",
-    lambda s, d: engine(s, d, "supplier").match("s_acctbal:>5000").select("s_suppkey", "s_name"),
-    "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000",
+    lambda s, d: joins.cross_lookup(read(s, d, "nation"), read(s, d, "supplier"), "n_nationkey", "s_nationkey", id_column="n_nationkey", return_fields=["s_name"], matches=None, strict=True).select(F.col("_source.n_name").alias("n_name"), F.explode("_matches").alias("m")).select("n_name", "m.*"),
+    "SELECT n_name, s_name FROM nation JOIN supplier ON n_nationkey = s_nationkey",
 )
+lucene("fallback_field", "part", "p_n:ring", "p_partkey", has("p_name", "ring"), compat=True)
+lucene("fallback_any_column", "part", "p_brand:ring", "p_partkey", " OR ".join(has(c, "ring") for c in ("p_name", "p_brand", "p_type")), compat=True)
+lucene("fallback_substring", "part", "p_name:idge", "p_partkey", "contains(lower(p_name), 'idge')", compat=True)
 add(
     "age_range",
     lambda s, d: Engine(read(s, d, "orders").withColumn("birthday", F.date_format("o_orderdate", "yyyyMMdd")), "o_orderkey", today=dt.date(2026, 1, 1)).match("age:[27 TO 29]").select("o_orderkey"),
@@ -164,6 +181,11 @@ add(
     lambda s, d: agg.numbers(read(s, d, "events"), {"c": ("cardinality", {"field": "user_id", "precise": True})}).select(F.col("0_cardinality").alias("value")),
     "SELECT count(DISTINCT user_id) AS value FROM events",
 )
+add(
+    "agg_cardinality_approx",
+    lambda s, d: agg.numbers(read(s, d, "events"), {"c": ("cardinality", {"field": "user_id"}), "p": ("cardinality", {"field": "user_id", "precise": True})}).select((F.abs(F.col("0_cardinality") - F.col("1_cardinality")) <= 0.1 * F.col("1_cardinality")).alias("close")),
+    "SELECT true AS close",
+)
 add("agg_histogram", lambda s, d: agg.histogram(read(s, d, "lineitem"), "l_quantity", 5), "SELECT CAST(floor(l_quantity / 5.0) * 5.0 AS DOUBLE) AS key, count(*) AS doc_count FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1")
 for _interval, _format in (("year", "%Y"), ("month", "%Y%m"), ("day", "%Y%m%d"), ("hour", "%Y%m%d%H")):
     add(
@@ -175,11 +197,10 @@ add("agg_date_histogram_week", lambda s, d: agg.date_histogram(read(s, d, "order
 
 
 def _multi(s: SparkSession, d: str) -> DataFrame:
-    found = engine(s, d, "lineitem").match("l_quantity:>25")
-    tidy = [agg.terms(found, f).select(F.lit(f).alias("agg"), "key", F.col("doc_count").cast("double").alias("value")) for f in ("l_returnflag", "l_linestatus")]
-    both = agg.numbers(found, {"a": ("max", {"field": "l_discount"}), "b": ("min", {"field": "l_tax"})})
-    numbers = both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("agg"), F.lit("value").alias("key"), F.col(c).alias("value")) for n, c in (("max", "0_max"), ("min", "1_min"))))).alias("x")).select("x.*")
-    return tidy[0].union(tidy[1]).union(numbers)
+    wanted = {f: {"terms": {"field": f}} for f in ("l_returnflag", "l_linestatus")} | {"max": {"max": {"field": "l_discount"}}, "min": {"min": {"field": "l_tax"}}}
+    got = engine(s, d, "lineitem").aggregate("l_quantity:>25", wanted)["aggregations"]
+    rows = [(name, b["key"], float(b["doc_count"])) for name, body in got.items() for b in body.get("buckets", [])]
+    return s.createDataFrame(rows + [(name, "value", got[name]["value"]) for name in ("max", "min")], "agg string, key string, value double")
 
 
 add(
@@ -280,6 +301,9 @@ add(
 )
 
 
+REGISTRY.update(QUERIES)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir, "lineitem")
-    return search.page(e.match("l_returnflag:A AND l_quantity:[10 TO 20] AND NOT l_linestatus:O"), 0, 100, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return search.page(e.match("l_returnflag:A AND l_quantity:[10 TO 20] AND NOT l_linestatus:O"), 0, 100, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")

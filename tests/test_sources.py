@@ -66,7 +66,7 @@ def test_files_of_one_name_stay_apart(spark, tmp_path):
 
 def test_one_type_for_a_column_in_all_files(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "root"))
-    files = {"1": 'zq,zqv\n5,1\n7,2\n', "2": 'zq,w\nfive,2.5\n', "3": 'zq,extra\n9,x\n'}
+    files = {"1": 'zq,zqv\n5,1\n7,2\n', "2": 'zq,zqv\nfive,2.5\n', "3": 'zq,extra\n9,x\n'}
     (tmp_path / "in").mkdir()
     for name, text in files.items():
         (tmp_path / "in" / f"{name}.csv").write_text(text)
