@@ -332,6 +332,20 @@ def test_probabilities_of_a_bounded_model_sum_to_one(spark):
                 assert sum(p(context + c) for c in alphabet) + rest == pytest.approx(1, abs=1e-5)
 
 
+def test_costs_do_not_depend_on_pieces(spark):
+    """Whatever a worker can hold, no n-gram is left out: one piece, many pieces and the definition agree."""
+    rows = [(i, t, "en" if i % 3 else None, "a") for i, t in enumerate(TEXTS)] + [(500, "allein", "xx", "a"), (501, "", "en", "a")]
+    (whole, half), (cut, _) = scored(spark, rows), scored(spark, rows, rows_a_piece=300)
+    assert cut == whole and len({t[i : i + quality.ORDER] for _, t, _, _ in rows for i in range(len(t))}) > 4 * 300
+    models = {(lang, h): KneserNey([t for i, t, x, _ in rows if x == lang and half[i] == h and t]) for lang in ("en", None) for h in ("0", "1")}
+    want = {i: models[lang, "1" if half[i] == "0" else "0"].nats(t) for i, t, lang, _ in rows if t and lang != "xx"}
+    assert {i: x for i, (_, x) in cut.items() if i in want} == pytest.approx(want, rel=1e-4)
+    keys = np.array([0, 1, (1 << 64) - 1, *(random.Random(i).getrandbits(64) for i in range(500))], np.uint64)
+    for pieces in (1, 3, 7):
+        signed = (keys ^ np.uint64(1 << 63)).view(np.int64).tolist()
+        assert [[i for i in range(pieces) if quality._range(i, pieces)[0] <= k <= quality._range(i, pieces)[1]] for k in signed] == [[int(p)] for p in quality._piece(keys, pieces)]
+
+
 def test_many_characters(spark):
     """More code points than a task's counter has numbers for."""
     rows = [(i, "".join(chr(0x4E00 + (7 * i + j) % 9000) for j in range(6000)), "zh", "a") for i in range(4)]
