@@ -5,10 +5,13 @@ children of matched nodes are aligned in order so that as many nodes as possible
 commonest text fills at least ``CONSTANT`` of the pages that have the slot (two at least) is template; the other slots, and
 text that nothing in the reference matches, are content.
 
-A host's layouts are its pages' skeletons: the tags of the tree, where neighbours of one skeleton count once. Its references
-are one page for each of the ``LAYOUTS`` skeletons that most of its pages have; a page goes to the reference whose paths of
-tags are most like its own, so pages of rarer skeletons are aligned as well. A stray page can't become the only reference of
-a host of many like pages.
+A host's layouts are its pages' skeletons: the tags of the tree, where neighbours of one skeleton count once. Each of them has
+a page as its reference, however many there are; a page goes to the reference whose paths of tags are most like its own. Its
+own skeleton's has the very same paths, so that is the first reference with these paths, in order of the skeletons' pages: a
+join on host and paths finds it, and no list of a host's references is ever made. A stray page can't become the only
+reference of a host of many like pages.
+
+Pages are moved to their references as packed trees, without attributes, scripts and comments, which play no part.
 
 Subtrees of one shape share a signature, and matches of signatures are kept, so pages of one layout are aligned once. Pages
 are aligned in one pass, which writes each page's texts with their slots; template slots follow from counts of these.
@@ -24,7 +27,9 @@ in a tag has no end in the page, quotes no longer protect ``>`` in the rest of i
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from docquery.llm.common import materialise
 
 CONSTANT = 0.8
-LAYOUTS = 8
+LAYOUTS = None  # no bound on a host's references
 NAME = re.compile(r"[A-Za-z][\w:-]*")
 MARK = re.compile(r"[\"'>]")
 RAW = {t: re.compile(rf"</{t}(?![\w:-])", re.I) for t in ("script", "style", "noscript", "template", "svg")}
@@ -225,13 +230,40 @@ class Tree:
                 if value not in VOID and not single:
                     open_at.append(node)
                     self.count[value] += 1
-        self.shape, self.skeleton = [0] * len(self.tags), [0] * len(self.tags)
-        for i in range(len(self.tags) - 1, -1, -1):  # children come after their parents
-            self.shape[i] = shapes.of(self.tags[i], tuple(self.shape[c] for c in self.children[i]))
+        self._signed(shapes)
+        self.skeleton = [0] * len(self.tags)
+        for i in range(len(self.tags) - 1, -1, -1):
             below = [self.skeleton[c] for c in self.children[i]]
             once = [x for k, x in enumerate(below) if not k or x != below[k - 1]]
             self.skeleton[i] = _h(f"{self.tags[i]} {once}")
 
+    def _signed(self, shapes: Shapes) -> None:
+        self.shape = [0] * len(self.tags)
+        for i in range(len(self.tags) - 1, -1, -1):  # children come after their parents
+            self.shape[i] = shapes.of(self.tags[i], tuple(self.shape[c] for c in self.children[i]))
+
+    def packed(self) -> bytes:
+        """Tags, numbers of children and texts: what alignment needs."""
+        return zlib.compress(json.dumps([self.tags, [len(c) for c in self.children], [t for t in self.texts if t]]).encode())
+
+    @classmethod
+    def unpacked(cls, data: bytes, shapes: Shapes) -> Tree:
+        """The tree that was packed, without skeletons."""
+        self = cls.__new__(cls)
+        self.tags, numbers, texts = json.loads(zlib.decompress(data))
+        self.children, given = [[] for _ in self.tags], iter(texts)
+        self.texts = [next(given) if tag == "#text" else "" for tag in self.tags]
+        open_at: list[int] = []
+        for i, n in enumerate(numbers):  # nodes are in order of the page, so a node's parent is the last that lacks a child
+            while open_at and len(self.children[open_at[-1]]) == numbers[open_at[-1]]:
+                open_at.pop()
+            if open_at:
+                self.children[open_at[-1]].append(i)
+            if n:
+                open_at.append(i)
+        self._signed(shapes)
+        return self
+
     def paths(self) -> frozenset[int]:
         """The paths of tags from the root, hashed."""
         at = [0] * len(self.tags)
@@ -288,27 +320,19 @@ def _h(text: str) -> int:
 
 
 class Worker:
-    """What one task keeps: shapes (afresh when they become many) and the trees and paths of the last hosts' references."""
+    """What one task keeps: shapes (afresh when they become many) and the trees of the last references."""
 
     def __init__(self) -> None:
         self.shapes, self.references = Shapes(), {}
 
-    def aligned(self, references: list[str], page: str) -> tuple[Tree, int, dict[int, int]]:
-        """The page's tree, the reference most like it, and that one's node for each node of the page that has one."""
+    def aligned(self, reference: bytes, page: bytes) -> tuple[Tree, dict[int, int]]:
+        """The page's tree, and the reference's node for each node of the page that has one; both are given as packed trees."""
         if len(self.shapes.shapes) > 200_000 or len(self.shapes.scores) > 1_000_000 or len(self.references) > 500:
             self.__init__()
-        known = []
-        for r in references:
-            if r not in self.references:
-                tree = Tree(r, self.shapes)
-                self.references[r] = tree, tree.paths()
-            known.append(self.references[r])
-        mine, chosen = Tree(page, self.shapes), 0
-        if len(known) > 1:
-            paths = mine.paths()
-            alike = [len(paths & p) / len(paths | p) for _, p in known]
-            chosen = alike.index(max(alike))
-        return mine, chosen, match(known[chosen][0], mine, self.shapes)
+        if reference not in self.references:
+            self.references[reference] = Tree.unpacked(reference, self.shapes)
+        mine = Tree.unpacked(page, self.shapes)
+        return mine, match(self.references[reference], mine, self.shapes)
 
 
 def host(url: str = "url") -> F.Column:
@@ -316,47 +340,57 @@ def host(url: str = "url") -> F.Column:
     return F.when(found != "", found)
 
 
-def _references(base: DataFrame) -> DataFrame:
-    """r_host, references: the pages that a host's pages are aligned with."""
+def _read(base: DataFrame) -> DataFrame:
+    """``base`` with skeleton, paths (a hash of all of them) and tree, packed, of each page."""
 
-    @F.pandas_udf("bigint")
-    def skeleton(pages: pd.Series) -> pd.Series:
+    @F.pandas_udf("skeleton bigint, paths bigint, tree binary")
+    def read(pages: pd.Series) -> pd.DataFrame:
         shapes = Shapes()
         out = []
         for page in pages:
-            out.append(Tree(page, shapes).skeleton[0])
+            tree = Tree(page, shapes)
+            out.append((tree.skeleton[0], _h(" ".join(map(str, sorted(tree.paths())))), tree.packed()))
             if len(shapes.shapes) > 200_000:
                 shapes = Shapes()
-        return pd.Series(out, dtype="int64")
+        return pd.DataFrame(out, columns=["skeleton", "paths", "tree"]).astype({"skeleton": "int64", "paths": "int64"})
+
+    return base.withColumn("read", read("html")).select("*", "read.skeleton", "read.paths", "read.tree").drop("read")
 
-    first = F.min(F.struct(F.xxhash64("html").alias("h"), F.col("page_id").isNull().alias("unknown"), "page_id", "html"))
-    layouts = base.withColumn("skeleton", skeleton("html")).groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("pages"), first.alias("first"))
-    commonest = Window.partitionBy("host").orderBy(F.desc("pages"), "skeleton")
-    some = layouts.withColumn("place", F.row_number().over(commonest)).where(F.col("place") <= LAYOUTS)
-    listed = F.sort_array(F.collect_list(F.struct("place", F.col("first.html").alias("html"))))
-    return some.groupBy(F.col("host").alias("r_host")).agg(F.transform(listed, lambda r: r["html"]).alias("references"))
+
+def _layouts(base: DataFrame, form: str) -> DataFrame:
+    """host, skeleton, paths, pages and first (``form`` of the page that stands for it) of each layout of each host."""
+    first = F.min(F.struct(F.xxhash64("html").alias("h"), F.col("page_id").isNull().alias("unknown"), "page_id", form))
+    return _read(base).groupBy("host", "skeleton", "paths").agg(F.count(F.lit(1)).alias("pages"), first.alias("first"))
+
+
+def _references(base: DataFrame) -> DataFrame:
+    """r_host, references: the pages that stand for a host's layouts, the commonest first; to look at, ``extract`` makes no such lists."""
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("place"), "skeleton", F.col("first.html").alias("html"))))
+    return _layouts(base, "html").groupBy(F.col("host").alias("r_host")).agg(F.transform(listed, lambda r: r["html"]).alias("references"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, host, content, content_texts, template_texts: each page's content, one line a text."""
     kind = pages.schema["page_id"].dataType.simpleString()
     base = pages.select("page_id", host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    references = materialise(_references(base))
+    commonest = F.min_by("first.tree", F.struct(-F.col("pages"), "skeleton"))
+    references = materialise(_layouts(base, "tree").groupBy(F.col("host").alias("r_host"), F.col("paths").alias("r_paths")).agg(commonest.alias("r_tree")))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker = Worker()
         for pdf in batches:
             rows = []
-            for page, given in zip(pdf["html"], pdf["references"]):
-                tree, chosen, found = worker.aligned(list(given), page)
+            for page, given in zip(pdf["tree"], pdf["r_tree"]):
+                tree, found = worker.aligned(bytes(given), bytes(page))
                 at = [i for i, t in enumerate(tree.texts) if t]
-                texts = [tree.texts[i] for i in at]
-                rows.append((chosen, [found.get(i, -1) for i in at], [_h(t) for t in texts], texts))
-            out = pd.DataFrame(rows, columns=["reference", "slots", "hashes", "texts"])
-            yield pd.concat([pdf[["page_id", "host"]].reset_index(drop=True), out], axis=1)
-
-    joined = base.join(references, F.col("host").eqNullSafe(F.col("r_host"))).drop("r_host")
-    aligned = materialise(joined.mapInPandas(align, f"page_id {kind}, host string, reference int, slots array<int>, hashes array<bigint>, texts array<string>"))
+                rows.append(([found.get(i, -1) for i in at], [tree.texts[i] for i in at]))
+            out = pd.DataFrame(rows, columns=["slots", "texts"])
+            yield pd.concat([pdf[["page_id", "host", "reference"]].reset_index(drop=True), out], axis=1)
+
+    own = _read(base).select("page_id", "host", F.col("paths").alias("reference"), "tree")
+    joined = own.join(references, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("reference") == F.col("r_paths"))).drop("r_host", "r_paths")
+    aligned = materialise(joined.mapInPandas(align, f"page_id {kind}, host string, reference bigint, slots array<int>, texts array<string>"))
+    aligned = aligned.withColumn("hashes", F.transform("texts", lambda t: F.xxhash64(t)))
     votes = aligned.select("host", "reference", F.inline(F.arrays_zip("slots", "hashes"))).where("slots >= 0")
     votes = votes.groupBy("host", "reference", "slots", "hashes").agg(F.count(F.lit(1)).alias("n"))
     constant = votes.groupBy("host", "reference", "slots").agg(F.sum("n").alias("all"), F.max("n").alias("n"), F.max_by("hashes", "n").alias("hash"))

@@ -633,6 +633,19 @@ def test_a_stray_page_and_several_layouts(spark):
     assert got[3] == "t3\nbody 3" and got[104] == "item 4" and got[200] == "Not found" and got[1] == "t1\nbody 1"
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    """Of more layouts than eight none is left to the others' references; packed trees are the trees."""
+    tags = ["div", "section", "article", "aside", "main", "form", "table", "ul", "dl", "ol", "pre", "blockquote"]
+    pages = [(100 * k + i, f"<body><{t}><b>Menu {k}</b><i>text {k} {i}</i></{t}></body>") for k, t in enumerate(tags) for i in range(20 - k)]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in pages], "page_id int, url string, html string")
+    assert {r.page_id: (r.content, r.template_texts) for r in html.extract(df).collect()} == {i: (f"text {i // 100} {i % 100}", 1) for i, _ in pages}
+    for text in ("", "plain", "<p>a<p>b &amp; c<br>d", pages[0][1], "<ul><li>x<li><b>y</b>z</ul>" * 3):
+        shapes = html.Shapes()
+        a = html.Tree(text, shapes)
+        b = html.Tree.unpacked(a.packed(), shapes)
+        assert (a.tags, a.children, a.texts, a.shape) == (b.tags, b.children, b.texts, b.shape)
+
+
 def test_hostile_pages_take_linear_time():
     for t in ("<a " * 16_000, '<a "' * 16_000, "<b>" * 16_000 + "</x>" * 16_000, "<div>" * 16_000, "<b><p>" * 16_000, "<!--" * 16_000, "<" * 16_000):
         began = time.time()
