@@ -108,6 +108,8 @@ class Shapes:
         self.ids: dict[tuple, int] = {}
         self.shapes: list[tuple[str, tuple[int, ...]]] = []
         self.sizes: list[int] = []
+        self.skeletons: list[int] = []
+        self.steps: dict[tuple[int, str], int] = {}  # hashes of paths by the path before and the tag
         self.scores: dict[tuple[int, int], int] = {}
 
     def of(self, tag: str, children: tuple[int, ...]) -> int:
@@ -116,6 +118,9 @@ class Shapes:
             found = self.ids[tag, children] = len(self.shapes)
             self.shapes.append((tag, children))
             self.sizes.append(1 + sum(self.sizes[c] for c in children))
+            below = [self.skeletons[c] for c in children]
+            once = [x for k, x in enumerate(below) if not k or x != below[k - 1]]
+            self.skeletons.append(_h(f"{tag} {once}"))
         return found
 
     def score(self, a: int, b: int) -> int:
@@ -231,20 +236,20 @@ class Tree:
                     open_at.append(node)
                     self.count[value] += 1
         self._signed(shapes)
-        self.skeleton = [0] * len(self.tags)
-        for i in range(len(self.tags) - 1, -1, -1):
-            below = [self.skeleton[c] for c in self.children[i]]
-            once = [x for k, x in enumerate(below) if not k or x != below[k - 1]]
-            self.skeleton[i] = _h(f"{self.tags[i]} {once}")
 
     def _signed(self, shapes: Shapes) -> None:
         self.shape = [0] * len(self.tags)
         for i in range(len(self.tags) - 1, -1, -1):  # children come after their parents
-            self.shape[i] = shapes.of(self.tags[i], tuple(self.shape[c] for c in self.children[i]))
+            self.shape[i] = shapes.of(self.tags[i], tuple([self.shape[c] for c in self.children[i]]))
+        self.shapes = shapes
+
+    @property
+    def skeleton(self) -> list[int]:
+        return [self.shapes.skeletons[x] for x in self.shape]
 
     def packed(self) -> bytes:
         """Tags, numbers of children and texts: what alignment needs."""
-        return zlib.compress(json.dumps([self.tags, [len(c) for c in self.children], [t for t in self.texts if t]]).encode())
+        return zlib.compress(json.dumps([self.tags, [len(c) for c in self.children], [t for t in self.texts if t]]).encode(), 1)
 
     @classmethod
     def unpacked(cls, data: bytes, shapes: Shapes) -> Tree:
@@ -266,10 +271,13 @@ class Tree:
 
     def paths(self) -> frozenset[int]:
         """The paths of tags from the root, hashed."""
-        at = [0] * len(self.tags)
+        at, steps = [0] * len(self.tags), self.shapes.steps
         for i, below in enumerate(self.children):
             for c in below:
-                at[c] = _h(f"{at[i]} {self.tags[c]}")
+                step = at[i], self.tags[c]
+                if step not in steps:
+                    steps[step] = _h(f"{step[0]} {step[1]}")
+                at[c] = steps[step]
         return frozenset(at)
 
     def _drop(self, open_at: list[int], k: int) -> None:
@@ -345,13 +353,16 @@ def _read(base: DataFrame) -> DataFrame:
 
     @F.pandas_udf("skeleton bigint, paths bigint, tree binary")
     def read(pages: pd.Series) -> pd.DataFrame:
-        shapes = Shapes()
+        shapes, known = Shapes(), {}
         out = []
         for page in pages:
             tree = Tree(page, shapes)
-            out.append((tree.skeleton[0], _h(" ".join(map(str, sorted(tree.paths())))), tree.packed()))
+            root = tree.shape[0]
+            if root not in known:  # pages of one shape have the same paths
+                known[root] = shapes.skeletons[root], _h(" ".join(map(str, sorted(tree.paths()))))
+            out.append((*known[root], tree.packed()))
             if len(shapes.shapes) > 200_000:
-                shapes = Shapes()
+                shapes, known = Shapes(), {}
         return pd.DataFrame(out, columns=["skeleton", "paths", "tree"]).astype({"skeleton": "int64", "paths": "int64"})
 
     return base.withColumn("read", read("html")).select("*", "read.skeleton", "read.paths", "read.tree").drop("read")
