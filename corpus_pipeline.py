@@ -12,6 +12,8 @@ whole. Each stage turns an empty table into an empty table.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docquery.llm import mixing, packing, pii, quality, simhash
@@ -55,6 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # what the stage wrote on its way isn't needed any more, and need not wait for the next collection
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-_written: dict[str, tuple[SparkSession, set[str]]] = {}
+_written: dict[str, tuple[SparkSession, dict[str, object]]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,17 +49,35 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
     The planner then knows the table's true size, so joins against it are broadcast only when it is small.
-    The files are removed when the Python process ends.
+    The files are removed once no plan refers to them any more (Spark cleans shuffles by the same rule), which is seen when
+    the next table is written, and at the latest when the Python process ends.
     """
     spark = df.sparkSession
     root = shared_dir(spark)
+    _sweep(root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if root not in _written:
-        _written[root] = (spark, set())
+        _written[root] = (spark, {})
         atexit.register(_remove, root)
-    _written[root][1].add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # every plan that is made from the table holds its list of files
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _written[root][1][path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(files)
+    return out
+
+
+def _sweep(root: str) -> None:
+    """Delete the tables that the JVM's garbage collector found unused."""
+    spark, paths = _written.get(root, (None, {}))
+    for path in [path for path, files in paths.items() if files.refersTo(None)]:
+        del paths[path]
+        _delete(spark.sparkContext, path)
+
+
+def _delete(sc: SparkContext, name: str) -> None:
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _remove(root: str) -> None:
@@ -67,8 +86,7 @@ def _remove(root: str) -> None:
     if sc is None or sc._jsc is None:
         return
     try:
-        path = sc._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(sc, root)
     except Exception:  # the JVM may be gone already; leftovers are then the cluster's to clean
         pass
 

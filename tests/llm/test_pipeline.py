@@ -1,11 +1,14 @@
 """The pipeline against its stages' brute-force meaning on a small fixture."""
 
+import gc
+import os
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline
 from docquery.llm import mixing, pii, quality, simhash
-from docquery.llm.common import table
+from docquery.llm.common import materialise, table
 from tests.llm.test_operators import brute_mix, check_sequences, docs, prose
 
 
@@ -51,3 +54,22 @@ def test_clean_documents_survive_the_filters(spark):
     df = docs(spark, rows, clash=False)
     kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.quality_rules(spark, df, ""), "")
     assert {r.doc_id for r in kept.collect()} == set(range(80))
+
+
+def test_tables_go_when_no_plan_needs_them(spark):
+    def collected():
+        for _ in range(3):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+        return materialise(spark.range(1))
+
+    kept = materialise(spark.range(100))
+    path = kept.inputFiles()[0].removeprefix("file://")
+    derived = kept.where("id < 50").groupBy().count()  # not run yet
+    del kept
+    collected()
+    assert os.path.exists(path) and derived.first()[0] == 50
+    del derived
+    collected()
+    assert not os.path.exists(os.path.dirname(path))
