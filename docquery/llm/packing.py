@@ -30,6 +30,8 @@ from docquery.llm.tokenids import VOCABULARY, Codes, encode_ids, token_codes, to
 
 CAPACITY = 2048
 TOKENS_A_SHARD = 4_000_000
+#: Bytes of text that a worker of ``sequences`` encodes at a time.
+TEXTS = 2_000_000
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -128,13 +130,13 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, tokens_a_shard: int = T
     ``pieces`` lists, in order, of which documents the ids are: doc_id, row (each row of ``docs`` has its own), piece,
     offset in the sequence and length.
     """
-    coded = token_codes(docs, vocabulary).where(F.col("n_tokens") > 0)
+    coded = token_codes(docs, vocabulary, TEXTS).where(F.col("n_tokens") > 0)
     coded = materialise(coded.withColumn("row", F.monotonically_increasing_id()))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _in_order(pdf)
         where = places(pdf, capacity).sort_values(["bin", "offset"], kind="stable")
-        ids = [Codes(bytes(c)).all() for c in pdf["codes"]]
+        ids = [Codes(bytes(c)).all().astype(np.uint32) for c in pdf["codes"]]
         ident = [None if pd.isna(d) else d for d in pdf["doc_id"]]
         row = pdf["row"].tolist()
         out, shard = [], int(pdf["shard"].iloc[0])

@@ -16,6 +16,7 @@ name special tokens are ordinary text.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from docquery.llm.common import batch_texts, map_texts, large_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BLOCK = 512
+#: Pieces whose ids a worker keeps.
+KNOWN = 100_000
 #: A space next to white space of any kind.
 BESIDE = r" [\t-\r\x{85}\p{Z}]|[\t-\r\x{85}\p{Z}] "
 
@@ -112,19 +115,20 @@ class Tokenizer:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _of(self, piece: str) -> list[int]:
+    def _of(self, piece: str) -> bytes:
+        """A piece's ids, 4 bytes each: a list of integers takes several times as much."""
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) > 400_000:  # memory stays bounded
+            if len(self.known) >= KNOWN:  # memory stays bounded
                 self.known.clear()
-            found = self.encoding.encode_ordinary(piece)
+            found = array("I", self.encoding.encode_ordinary(piece)).tobytes()
             if len(piece) <= 32:
                 self.known[piece] = found
         return found
 
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Which texts are to be encoded whole; the ids of each distinct piece of the others; the pieces in order; where each text's start.
 
         A pretoken has a space only at its start, unless white space is next to white space. So a text where no space
@@ -147,7 +151,7 @@ class Tokenizer:
     def count(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         beside, ids, code, starts = self._pieces(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         ends = np.r_[0, np.cumsum(size[code])]
         n = ends[starts[1:]] - ends[starts[:-1]]
         for i in np.flatnonzero(beside):
@@ -157,8 +161,8 @@ class Tokenizer:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         beside, ids, code, starts = self._pieces(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((x for i in ids for x in i), np.int64, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.r_[0, np.cumsum(size)]
         n = size[code]
         ends = np.cumsum(n)
@@ -166,7 +170,7 @@ class Tokenizer:
         ends = np.r_[0, ends][starts]
         got = [out[a:b] for a, b in zip(ends[:-1], ends[1:])]
         for i in np.flatnonzero(beside):
-            got[i] = np.array(self.encoding.encode_ordinary(texts[int(i)].as_py()), dtype=np.int64)
+            got[i] = np.array(self.encoding.encode_ordinary(texts[int(i)].as_py()), dtype=np.uint32)
         return got
 
 
@@ -184,17 +188,21 @@ def tokenizer_for(spark: SparkSession, vocabulary: str) -> Callable[[], Tokenize
     return make
 
 
-def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, codes: each document's ids as directly addressable codes."""
-    make = tokenizer_for(docs.sparkSession, vocabulary)
+def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Tokenizer], limit: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens and codes of batches of doc_id and text, about ``limit`` bytes of text at a time."""
+    for batch in large_batches(batches, "text", limit):
+        missing = np.asarray(pc.is_null(batch.column("text")))
+        ids = make().encode(batch_texts(batch.column("text")))
+        codes = pa.array([None if gone else encode_ids(i) for i, gone in zip(ids, missing)], pa.binary())
+        n = pa.array([None if gone else len(i) for i, gone in zip(ids, missing)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, codes], names=["doc_id", "n_tokens", "codes"])
+
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in large_batches(batches, "text"):
-            missing = np.asarray(pc.is_null(batch.column("text")))
-            ids = make().encode(batch_texts(batch.column("text")))
-            codes = pa.array([None if gone else encode_ids(i) for i, gone in zip(ids, missing)], pa.binary())
-            n = pa.array([None if gone else len(i) for i, gone in zip(ids, missing)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, codes], names=["doc_id", "n_tokens", "codes"])
+def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 8_000_000) -> DataFrame:
+    """doc_id, n_tokens, codes: each document's ids as directly addressable codes.
 
+    A worker takes about ``limit`` bytes of text at a time: more is less work, and needs some 20 times as much memory.
+    """
+    make = tokenizer_for(docs.sparkSession, vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_tokens bigint, codes binary")
+    return map_texts(docs.select("doc_id", "text"), lambda batches: encoded(batches, make, limit), f"doc_id {kind}, n_tokens bigint, codes binary")

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -992,3 +993,19 @@ def test_tokens_with_spaces_beside_white_space():
     t = tokenids.Tokenizer(open(tokenids.VOCABULARY, "rb").read())
     texts = ["a \xa0 \xa0b", "a \xa0 \xa0 \xa0 \xa0", "a\n \nb", "a\t \tb", "a\n ", "a \n", *(f"a{w} {w}b{w} " for w in "\t\n\x0b\x0c\r\x85\xa0\u1680\u2003\u2028\u202f\u3000")]
     assert [x.tolist() for x in t.encode(pa.array(texts, pa.large_string()))] == [t.encoding.encode_ordinary(x) for x in texts]
+
+
+def test_encoding_keeps_little_in_memory():
+    """Texts of many distinct words: neither a batch nor what is known of earlier words takes much of a worker."""
+    tokenizer, rng = tokenids.Tokenizer(open(tokenids.VOCABULARY, "rb").read()), random.Random(11)
+    texts = [" ".join(f"{rng.getrandbits(20):x}" for _ in range(1000)) for _ in range(1200)]
+    given = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        held = [b for b in tokenids.encoded(iter([given]), lambda: tokenizer, packing.TEXTS)]
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 25e6 and peak < 90e6
+    back = [tokenids.Codes(c.as_py()).all().tolist() for b in held for c in b.column("codes")]
+    assert back == [tokenizer.encoding.encode_ordinary(t) for t in texts]
